@@ -5,15 +5,25 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import line_dedup, packing, secret_scan
+from foliant.llm import language, line_dedup, near_dedup, packing, secret_scan
 from foliant.llm.store import written
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no language model accepts go (operator 7); the models are fitted on this stage's own input."""
+    return language.keep_known(docs, language.fit(docs))
+
+
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines leave the texts (operator 1); ``n_chars`` follows where it is there."""
+    """Boilerplate lines leave the texts (operator 1); no document goes."""
     return line_dedup.drop_boilerplate(docs).select(*docs.columns)
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays (operator 5): five words, a similarity of 0.8."""
+    return near_dedup.keep_one(docs, percent=80)
+
+
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the texts (operator 6)."""
     return secret_scan.redact(docs)
@@ -24,7 +34,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
-STAGES = [("line dedup", drop_lines), ("secret scan", hide_secrets), ("packing", pack)]
+STAGES = [("language", known_language), ("line dedup", drop_lines), ("near dedup", one_of_each), ("secret scan", hide_secrets), ("packing", pack)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
