@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm.store import written
 from foliant.llm.token_output import with_end
-from foliant.llm.tokens import bpe_table, loaded
+from foliant.llm.tokens import bpe_table, loaded, sliced
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, local long"
 _TYPES = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "task": pa.int32(), "local": pa.int64()}
@@ -44,24 +44,28 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> D
         table, task = loaded(bpe_table, tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            ids, bounds = with_end(*table.texts(batch.column("text")), end_id)
-            ids = ids.astype("<u4")
-            sizes = np.diff(bounds)
-            pieces = -(-sizes // capacity)
-            owner = np.repeat(np.arange(len(sizes)), pieces)
-            number = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            first = sizes - (pieces - 1) * capacity
-            start = np.where(number == 0, 0, first[owner] + (number - 1) * capacity)
-            length = np.where(number == 0, first[owner], capacity)
-            at = bounds[owner] + start
-            crc = [zlib.crc32(ids[a:b].data) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
-            order = np.argsort(length, kind="stable")
-            counts = np.bincount(length, minlength=capacity + 1)
-            local = np.empty(len(length), np.int64)
-            local[order] = np.arange(len(length)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(seen, counts)
-            seen += counts
-            values = [batch.column("doc_id").take(pa.array(owner)), number, start, length, crc, np.full(len(owner), task), local]
-            yield pa.RecordBatch.from_arrays([v.cast(t) if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(values, _TYPES.values(), strict=True)], names=list(_TYPES))
+            names, at_row = batch.column("doc_id"), 0
+            for texts in sliced(batch.column("text").cast(pa.large_string()).fill_null("")):
+                own = names.slice(at_row, len(texts))
+                at_row += len(texts)
+                ids, bounds = with_end(*table.texts(texts), end_id)
+                ids = ids.astype("<u4", copy=False)
+                sizes = np.diff(bounds)
+                pieces = -(-sizes // capacity)
+                owner = np.repeat(np.arange(len(sizes)), pieces)
+                number = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                first = sizes - (pieces - 1) * capacity
+                start = np.where(number == 0, 0, first[owner] + (number - 1) * capacity)
+                length = np.where(number == 0, first[owner], capacity)
+                at = bounds[owner] + start
+                crc = [zlib.crc32(ids[a:b].data) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
+                order = np.argsort(length, kind="stable")
+                counts = np.bincount(length, minlength=capacity + 1)
+                local = np.empty(len(length), np.int64)
+                local[order] = np.arange(len(length)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(seen, counts)
+                seen += counts
+                values = [own.take(pa.array(owner)), number, start, length, crc, np.full(len(owner), task), local]
+                yield pa.RecordBatch.from_arrays([v.cast(t) if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(values, _TYPES.values(), strict=True)], names=list(_TYPES))
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 

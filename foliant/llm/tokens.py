@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ Encoded = tuple[np.ndarray, np.ndarray]
 
 
 class ChunkTable:
-    """Ids of texts through a table of at most about ``limit`` chunks.
+    """Ids of texts through a table of about ``limit`` chunks, and those of one slice.
 
     ``encode`` maps a list of chunks to (all ids, lengths), ``each`` one of
     whole texts.  ``prepare`` may cut texts further, by spaces: with ``spaced``
@@ -35,11 +36,8 @@ class ChunkTable:
     before it; without, the library treats both alike.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Encoded], each: Callable[[list[str]], Encoded], prepare: Callable[[pa.Array], pa.Array], spaced: bool, limit: int = 600_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], Encoded], each: Callable[[list[str]], Encoded], prepare: Callable[[pa.Array], pa.Array], spaced: bool, limit: int = 1_000_000) -> None:
         self._encode, self._each, self._prepare, self._spaced, self._limit = encode, each, prepare, spaced, limit
-        self._clear()
-
-    def _clear(self) -> None:
         self._place: dict[str, int] = {}
         self._ids = np.zeros(0, np.uint32)
         self._start = np.zeros(0, np.int64)
@@ -75,8 +73,16 @@ class ChunkTable:
         return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), offsets
 
     def _slice(self, texts: pa.Array) -> Encoded:
-        if len(self._place) > self._limit:
-            self._clear()
+        known = len(self._start)
+        out = self._looked_up(texts)
+        if known >= self._limit:  # full: what this slice added goes again, what came early is mostly what is frequent
+            for chunk in list(islice(reversed(self._place), len(self._start) - known)):
+                del self._place[chunk]
+            self._ids = self._ids[: self._start[known] if known < len(self._start) else None]
+            self._start, self._length = self._start[:known], self._length[:known]
+        return out
+
+    def _looked_up(self, texts: pa.Array) -> Encoded:
         uncut = pc.match_substring_regex(texts, _UNCUT)
         if pc.any(uncut).as_py():
             mask = uncut.to_numpy(zero_copy_only=False)
@@ -158,8 +164,10 @@ def bpe_table(path: str) -> ChunkTable:
         return _flat(tokenizer.encode_batch_fast(texts, add_special_tokens=False))
 
     def joined(chunks: list[str]) -> Encoded:
-        groups = [" \x00".join(chunks[i : i + 4000]) + " \x00" for i in range(0, len(chunks), 4000)]
-        ids = np.concatenate([np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(groups, add_special_tokens=False)])
+        parts = []
+        for i in range(0, len(chunks), 4000):  # one encoding at a time: they are far larger than their ids
+            parts.append(np.array(tokenizer.encode_batch_fast([" \x00".join(chunks[i : i + 4000]) + " \x00"], add_special_tokens=False)[0].ids, np.uint32))
+        ids = np.concatenate(parts)
         ends = np.flatnonzero(ids == mark[-1])
         keep = np.ones(len(ids), bool)
         for back in range(len(mark)):
