@@ -43,11 +43,12 @@ def flattened(nodes: DataFrame) -> DataFrame:
 
 def with_paths(nodes: DataFrame, depth: int) -> DataFrame:
     """``nodes`` with ``path``, the nodes from the top down; ``depth`` joins walk up at most that many steps."""
-    up = nodes.select("book", F.col("node").alias("_node"), F.col("parent").alias("_up"))
+    up = nodes.select(F.col("book").alias("_book"), F.col("node").alias("_node"), F.col("parent").alias("_above"))
     out = nodes.withColumns({"path": F.array("node"), "_next": F.col("parent")})
     for _ in range(depth - 1):
-        grown = out.join(up.withColumnRenamed("_up", "_above"), (out.book == up.book) & (out._next == F.col("_node")), "left").drop(up.book)
-        out = grown.withColumns({"path": F.when(F.col("_next").isNotNull(), F.concat(F.array("_next"), F.col("path"))).otherwise(F.col("path")), "_next": F.col("_above")}).drop("_node", "_above")
+        grown = out.join(up, (F.col("book") == F.col("_book")) & (F.col("_next") == F.col("_node")), "left")
+        longer = F.when(F.col("_next").isNotNull(), F.concat(F.array("_next"), F.col("path"))).otherwise(F.col("path"))
+        out = grown.withColumns({"path": longer, "_next": F.col("_above")}).drop("_book", "_node", "_above")
     return out.drop("_next")
 
 
@@ -72,7 +73,7 @@ def resolved(nodes: DataFrame, aliases: DataFrame) -> DataFrame:
     offers = own.where("_page > 0").select("book", F.col("node").alias("_giver"), F.col("_page").alias("_given"), F.explode("path").alias("node"))
     best = offers.groupBy("book", "node").agg(F.min_by("_given", "_giver").alias("_first"))
     kept = own.join(best, ["book", "node"])
-    parent = F.try_element_at(F.col("path"), -2)
+    parent = F.try_element_at(F.col("path"), F.lit(-2))
     return kept.withColumns({"page": F.when(F.col("_page") > 0, F.col("_page")).otherwise(F.col("_first")), "parent": parent}).drop("_page", "_first")
 
 
