@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.operators import assembly, footnotes, recipients, routing, state, structure, toc, usage
+from foliant.operators import assembly, footnotes, recipients, render, routing, state, structure, toc, usage
 from foliant.plans import domains as D
 from foliant.sources import proxies as P
 from foliant.streaming import requests
@@ -750,3 +750,51 @@ def remaining_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     queue = P.table(spark, sf_dir, "events").select("event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("queued_at"))
     now = queue.agg(F.max("queued_at")).first()[0]
     return requests.remaining(queue, now, 86400)
+
+
+# ---------------------------------------------------------------- rendering
+
+
+@query(f"""WITH {ROUTES}, {_SETS}, {_BACKEND} SELECT input, output, option_set, CASE WHEN chosen = 'pandoc' THEN '' ELSE array_to_string(list_filter([CASE WHEN smarten THEN '--smarten-punctuation' END, CASE WHEN line_height IS NOT NULL THEN '--minimum-line-height ' || line_height END,
+ CASE WHEN output = 'docx' THEN '--filter-css float' END, CASE WHEN output = 'pdf' THEN '--pdf-no-cover' END], lambda x: x IS NOT NULL), ' ') END AS arguments,
+ array_to_string(list_filter([CASE WHEN input = 'docx' THEN 'docx-cleanup' END, 'empty-blocks', 'arabic-punctuation', CASE WHEN output = 'md' THEN 'bidi-cleanup' END, CASE WHEN rtl AND output IN {_list(D.RTL_OUTPUTS)} THEN 'rtl-wrap' END], lambda x: x IS NOT NULL), ' ') AS filters,
+ CASE WHEN input = 'epub' AND chosen = 'calibre' AND rtl THEN 'right to left' ELSE '' END AS preparation FROM b""")
+def route_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = routing.backend()
+    arguments = F.when(chosen == "pandoc", render.pandoc_arguments()).otherwise(render.calibre_arguments())
+    return _requests(spark).select("input", "output", "option_set", F.array_join(arguments, " ").alias("arguments"), F.array_join(render.pandoc_filters(), " ").alias("filters"), F.array_join(render.preparation(chosen), " ").alias("preparation"))
+
+
+@query(f"""WITH {TREE}, n AS (SELECT book, path, pos, len(path) AS d, (row_number() OVER w - 1) AS i, lag(len(path), 1, 0) OVER w AS b, lead(len(path), 1, 0) OVER w AS a FROM tree WINDOW w AS (PARTITION BY book ORDER BY path))
+SELECT book, sha256(string_agg(CASE WHEN d > b THEN '<ol>' ELSE '' END || '<li><a href="text/page_' || pos || '.xhtml">n' || pos || '</a>' || CASE WHEN a > d THEN '' WHEN a = 0 THEN repeat('</li></ol>', d) ELSE repeat('</li></ol>', d - a) || '</li>' END, '' ORDER BY path)) AS nav,
+ sha256(string_agg('<navPoint id="nav_' || i || '"><navLabel><text>n' || pos || '</text></navLabel><content src="text/page_' || pos || '.xhtml"/>' || CASE WHEN a > d THEN '' WHEN a = 0 THEN repeat('</navPoint>', d) ELSE repeat('</navPoint>', d - a + 1) END, '' ORDER BY path)) AS ncx FROM n GROUP BY book""")
+def toc_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _tree(spark, sf_dir).select("book", "path", F.concat(F.lit("n"), F.col("node")).alias("text"), F.col("node").alias("page"), F.lit(None).cast("string").alias("href"), F.lit("").alias("anchor"))
+    none = nodes.select("book", "page", F.col("text").alias("file")).where("false")
+    out = render.rendered_toc(nodes, none)
+    return out.select("book", F.sha2("nav", 256).alias("nav"), F.sha2("ncx", 256).alias("ncx"))
+
+
+@query("SELECT conv_id AS book, turn AS pos, CASE WHEN turn % 2 = 0 THEN (turn % 4 + 1)::INT END AS level, turn % 2 = 0 AND turn % 4 < 2 AND coalesce(sum((turn % 2 = 0 AND turn % 4 < 2)::INT) OVER (PARTITION BY conv_id ORDER BY turn), 0) > 1 AS breaks FROM conversations")
+def heading_page_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    level = F.when(F.col("turn") % 2 == 0, (F.col("turn") % 4 + 1).cast("int"))
+    return render.page_breaks(P.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book"), F.col("turn").alias("pos"), level.alias("level")))
+
+
+@query("""WITH p AS (SELECT conv_id AS book, turn + 1 AS n, max(turn + 1) OVER (PARTITION BY conv_id) AS hi FROM conversations)
+SELECT book, n AS page_number, 'OEBPS/text/page_1_' || lpad(n::VARCHAR, (length(hi::VARCHAR) + 1)::INT, '0') || '.xhtml' AS name FROM p""")
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = P.table(spark, sf_dir, "conversations")
+    pages = turns.select(F.col("conv_id").alias("book"), (F.col("turn") + 1).alias("page_number"), F.lit(None).cast("string").alias("title"), F.col("text").alias("text_html"))
+    books = turns.select(F.col("conv_id").alias("book")).distinct().select("book", F.lit("T").alias("title"), F.lit("").alias("author"), F.lit("").alias("about"), F.lit("ar").alias("language"), F.lit("").alias("direction"))
+    toc_ = pages.select("book", F.array("page_number").alias("path"), F.lit("x").alias("text"), F.col("page_number").alias("page"), F.lit(None).cast("string").alias("href"), F.lit("").alias("anchor"))
+    entries = render.book_entries(books, pages, toc_).where("name LIKE '%/text/%'")
+    return entries.select("book", (F.col("pos") - 7).cast("bigint").alias("page_number"), "name")
+
+
+@query("SELECT event_id, 'b' || (event_id % 3) AS message, CASE user_id % 3 WHEN 0 THEN 'ar' WHEN 1 THEN 'en' ELSE 'en' END AS language, CASE WHEN user_id % 3 = 0 AND event_id % 3 < 2 THEN 'ar b' || (event_id % 3) ELSE 'b' || (event_id % 3) END AS shown FROM events")
+def translated_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("user_id") % 3
+    asked = P.table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("b"), F.col("event_id") % 3).alias("message"), F.when(k == 0, "ar").when(k == 1, "en").otherwise("").alias("language"))
+    dictionary = spark.createDataFrame([("ar", "b0", "ar   b0"), ("ar", "b1", "ar  b1")], "language STRING, message STRING, text STRING")
+    return render.translated(asked, dictionary)

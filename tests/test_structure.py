@@ -142,3 +142,42 @@ def test_text_of_bytes():
     assert container.text_of("é".encode()) == "é"
     assert container.text_of(b'<?xml version="1.0" encoding="iso-8859-1"?><a>\xe9</a>').endswith("<a>é</a>")
     assert container.text_of(b"a\xff") == "a" and container.text_of(None) == ""
+
+
+def test_books_round_trip(spark, tmp_path, rows):
+    """Volumes of a book are packed, read again and lead where they should."""
+    from foliant.operators import render
+
+    books = spark.createDataFrame([("b", "Title & co", "A", "<p>about</p>", "ar", "")], "book STRING, title STRING, author STRING, about STRING, language STRING, direction STRING")
+    pages = spark.createDataFrame([("b", k, f"p{k}", f"<p>text {k}</p>") for k in range(1, 5)], "book STRING, page_number INT, title STRING, text_html STRING")
+    starts = spark.createDataFrame([("b", 1), ("b", 3)], "book STRING, page INT")
+    volume_books, volume_pages = render.volume_books(books, toc.volumes(pages, starts))
+    nodes = spark.createDataFrame([("b/1", [1], "one", 1, None, "a"), ("b/1", [1, 1], "in", 2, None, ""), ("b/1", [2], "<two>", 2, None, None), ("b/2", [1], "three", 3, None, None)], "book STRING, path ARRAY<INT>, text STRING, page INT, href STRING, anchor STRING")
+    packed = container.packed(render.book_entries(volume_books, volume_pages, nodes)).collect()
+    assert [r.book for r in sorted(packed)] == ["b/1", "b/2"]
+    for r in packed:
+        (tmp_path / f"{r.book.replace('/', '-')}.epub").write_bytes(r.content)
+    entries = container.read_entries(spark, str(tmp_path)).withColumn("book", F.regexp_extract("book", "b-[12]", 0))
+    assert [r[0] for r in rows(container.toc_rows(entries).where("source = 'nav'").orderBy("book", "node"), "text", "page")] == ["<two>", "in", "one", "three"]
+    assert rows(container.toc_rows(entries).where("source = 'ncx' AND book = 'b-1'"), "path", "page", "anchor") == [([1, 2], 2, None), ([1], 1, "a"), ([3], 2, None)]
+    package = container.package_rows(entries).where("kind = 'itemref'")
+    assert rows(package, "book", "id") == [("b-1", "info"), ("b-1", "page_1_01"), ("b-1", "page_1_02"), ("b-2", "info"), ("b-2", "page_1_03"), ("b-2", "page_1_04")]
+    text = {r.name: container.text_of(bytes(r.content)) for r in entries.where("book = 'b-2'").collect()}
+    assert 'lang="ar" dir="rtl"' in text["OEBPS/text/page_1_03.xhtml"] and "<title>Title &amp; co (2)</title>" in text["OEBPS/nav.xhtml"] and 'page-progression-direction="rtl"' in text["OEBPS/content.opf"]
+
+
+def test_small_rules(spark, rows):
+    from foliant.operators import render
+
+    people = spark.createDataFrame([(" A ", " B", None, True), ("", "B", None, True), (None, None, "T ", False)], "f STRING, l STRING, t STRING, p BOOLEAN")
+    assert [r[0] for r in people.select(render.chat_name(F.col("f"), F.col("l"), F.col("t"), F.col("p"))).collect()] == ["A B", " B", "T "]
+    files = spark.createDataFrame([(26_214_400, False), (26_214_401, False), (99_999_999, True)], "size LONG, is_admin BOOLEAN")
+    assert rows(render.accepted_sizes(files), "size") == [(26_214_400,), (99_999_999,)]
+    buttons = spark.createDataFrame([("r", k) for k in range(5)], "request STRING, pos INT")
+    assert rows(render.button_rows(buttons, 3), "row", "column") == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1)]
+    assert [r[0] for r in spark.createDataFrame([(True, False), (False, True), (False, False)], "a BOOLEAN, b BOOLEAN").select(render.chat_type(F.col("a"), F.col("b"))).collect()] == [0, 1, 2]
+    options = spark.createDataFrame([("epub", "docx", True, -1)], "input STRING, output STRING, pandoc_toc BOOLEAN, pandoc_heading_shift INT")
+    from foliant.operators import routing
+
+    full = routing.with_defaults(options)
+    assert full.select(render.pandoc_arguments()).first()[0] == ["--standalone", "--toc", "--shift-heading-level-by", "-1"]
