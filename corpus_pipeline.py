@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from foliant.llm import language, line_dedup, near_dedup, packing, secret_scan
-from foliant.llm.store import written
+from foliant.llm.store import with_small_batches, written
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no language model accepts go (operator 7); the models are fitted on this stage's own input."""
+    with_small_batches(spark)
     return language.keep_known(docs, language.fit(docs))
 
 
@@ -21,6 +22,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays (operator 5): five words, a similarity of 0.8."""
+    with_small_batches(spark)
     return near_dedup.keep_one(docs, percent=80)
 
 
@@ -31,6 +33,7 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places of all pieces in training sequences (operator 10)."""
+    with_small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 

@@ -20,6 +20,7 @@ nor learned from; an empty table gives no rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.tokens import sliced
+from foliant.llm.tokens import loaded, sliced
 
 ORDER = 5
 _BASE = 0x9E3779B97F4A7C15
@@ -57,7 +58,7 @@ def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     hashes = [np.zeros(len(codes), np.uint64)]
     for n in range(1, ORDER + 1):
         older = np.zeros(len(codes), np.uint64)
-        older[n - 1 :] = codes[: len(codes) - n + 1] * _POWERS[n - 1]
+        older[n - 1 :] = codes[: max(0, len(codes) - n + 1)] * _POWERS[n - 1]
         hashes.append(hashes[-1] + older)
     return owner, place, hashes
 
@@ -244,22 +245,17 @@ def fit(docs: DataFrame, documents: int = 150, characters: int = 600_000, slack:
     return identifier
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
-def _scorer(broadcast) -> Scorer:
-    if broadcast not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[broadcast] = Scorer(broadcast.value)
-    return _SCORERS[broadcast]
+def _scorer(shared, name: str) -> Scorer:
+    """One scorer for each worker process and broadcast."""
+    return loaded(lambda _: Scorer(shared.value), f"broadcast {name}")
 
 
 def identify(docs: DataFrame, identifier: Identifier) -> DataFrame:
     """doc_id, held_out, lang_pred, score and rejected of every row of ``docs`` (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(identifier)  # bounded by the sample
+    shared, name = docs.sparkSession.sparkContext.broadcast(identifier), uuid.uuid4().hex  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(shared)
+        scorer = _scorer(shared, name)
         for batch in batches:
             names, scores, rejected = scorer.predict(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores), pa.array(rejected)], names=["doc_id", "held_out", "lang_pred", "score", "rejected"])
@@ -269,10 +265,10 @@ def identify(docs: DataFrame, identifier: Identifier) -> DataFrame:
 
 def keep_known(docs: DataFrame, identifier: Identifier) -> DataFrame:
     """The rows of ``docs`` that are not rejected, all columns unchanged."""
-    shared = docs.sparkSession.sparkContext.broadcast(identifier)
+    shared, name = docs.sparkSession.sparkContext.broadcast(identifier), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(shared)
+        scorer = _scorer(shared, name)
         for batch in batches:
             yield batch.filter(pa.array(~scorer.predict(batch.column("text"))[2]))
 

@@ -30,6 +30,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_OWN[app]}"
 
 
+#: Bytes of an Arrow batch: two tasks of an executor then hold little beside their tables.
+BATCH_BYTES = 16 << 20
+
+
+def with_small_batches(spark: SparkSession) -> SparkSession:
+    """The session with Arrow batches of at most BATCH_BYTES; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None) or ""
+    if not now.rstrip("bB").isdigit() or not 0 < int(now.rstrip("bB")) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return spark
+
+
 def _root(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/foliant-{spark.sparkContext.applicationId}"
 

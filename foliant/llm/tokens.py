@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 #: A text matching this is not cut.
 _UNCUT = r"\s\s|^\s|\s$|[\x00\x01\x0b\x1c-\x1f\x85\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}▁]"
 #: Bytes of text handled at a time.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 6_000_000
 
 Encoded = tuple[np.ndarray, np.ndarray]
 
@@ -36,7 +36,7 @@ class ChunkTable:
     before it; without, the library treats both alike.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Encoded], each: Callable[[list[str]], Encoded], prepare: Callable[[pa.Array], pa.Array], spaced: bool, limit: int = 1_000_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], Encoded], each: Callable[[list[str]], Encoded], prepare: Callable[[pa.Array], pa.Array], spaced: bool, limit: int = 500_000) -> None:
         self._encode, self._each, self._prepare, self._spaced, self._limit = encode, each, prepare, spaced, limit
         self._place: dict[str, int] = {}
         self._ids = np.zeros(0, np.uint32)
@@ -208,11 +208,13 @@ def piece_table(path: str) -> ChunkTable:
 _LOADED: dict[tuple[str, str], object] = {}
 
 
-def loaded(kind: Callable, path: str):
-    """One table or model for each worker process and file."""
-    key = (kind.__name__, path)
+def loaded(kind: Callable, source: str):
+    """One table or model for each worker process; those of other sources go, as a worker serves one operator after another."""
+    key = (kind.__name__, source)
     if key not in _LOADED:
-        _LOADED[key] = kind(path)
+        for other in [k for k in _LOADED if k[1] != source]:
+            del _LOADED[other]
+        _LOADED[key] = kind(source)
     return _LOADED[key]
 
 
