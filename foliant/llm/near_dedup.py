@@ -253,7 +253,7 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs`` (doc_id, text); links are Jaccard similarities of ``percent`` or more."""
     table = written(signatures(docs, percent), "signatures")
-    classes = table.where("n_shingles > 0").groupBy("k0", "k1").agg(F.min("doc_id").alias("id")).where("id IS NOT NULL")
+    classes = table.where("n_shingles > 0").groupBy("k0", "k1").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")).where("id IS NOT NULL")
     members_of = table.join(classes.select("k0", "k1", F.col("id").alias("doc_id")), ["k0", "k1", "doc_id"])
     sketches = written(members_of.select(F.col("doc_id").alias("id"), "n_shingles", "sketch", "halves").dropDuplicates(["id"]), "classes")
     members = written(buckets(sketches, percent), "buckets")
@@ -267,8 +267,9 @@ def near_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     more = verified(cross_pairs(known, sketches, percent), sets, percent)
     final = components(first.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more))
 
-    named = classes.join(final, "id", "left").select("k0", "k1", F.coalesce("component", "id").alias("component_id"))
-    result = table.join(named, ["k0", "k1"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    # A table of the classes that say anything; so written, a hot class's rows can be split over tasks in the join.
+    named = classes.join(final, "id", "left").where("copies > 1 OR component IS NOT NULL").select("k0", "k1", F.coalesce("component", "id").alias("component_id"))
+    result = table.join(written(named, "named"), ["k0", "k1"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     result = result.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
     return result.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
