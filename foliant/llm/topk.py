@@ -8,10 +8,12 @@ distance, and finer ones are tighter.  A block of queries meets a block of
 candidates; candidates whose bound is below a query's k-th best exact score so
 far are dropped coarse to fine, and only survivors are scored.
 
-Blocks of at most ``BLOCK`` vectors are single rows, and every pair of a query
-block and a candidate block is one unit of work, so nothing that grows with the
-data is broadcast or collected.  Each unit returns k rows per query; these are
-merged by two windows, first within groups of candidate blocks.
+Blocks of at most ``BLOCK`` vectors are single rows.  Candidate blocks are dealt
+over twice as many parts as there are shuffle partitions and move once; query
+blocks are sent to every part, where each pair of blocks is one unit of work.
+Nothing that grows with the data is broadcast or collected.  Each unit returns
+k rows per query; these are merged by two windows, first within groups of
+candidate blocks.
 
 Edge cases: vectors that are null, empty, or hold a null or non-finite component, and rows
 without an id, take no part; only vectors of equal dimension meet; a query
@@ -123,10 +125,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: int = 256) -> D
 
     spread = Window.partitionBy("query_id", "dealt").orderBy(F.desc("score"), "vec_id")
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    right = blocks(vectors, scale)
-    left = blocks(queries, scale).select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), "dim")
-    units = left.join(right, "dim").repartition("block", "q_ids")
-    rows = units.mapInArrow(run, "block long, query_id long, vec_id long, score long").distinct()
+    parts = 2 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Explicit numbers of partitions: the blocks are small, their products are not.
+    right = blocks(vectors, scale).withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts))).repartition(parts, "dim", "part")
+    left = blocks(queries, scale).select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), "dim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part")).repartition(parts, "dim", "part")
+    units = right.join(left.hint("merge"), ["dim", "part"])
+    rows = units.mapInArrow(run, "block long, query_id long, vec_id long, score long")
     few = rows.withColumn("dealt", F.pmod(F.xxhash64("block"), F.lit(64))).withColumn("r", F.row_number().over(spread)).where(F.col("r") <= k)
     merged = few.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return merged.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
