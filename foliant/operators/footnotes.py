@@ -136,3 +136,34 @@ def carried_back(pages: DataFrame) -> DataFrame:
     joined = rows.join(given, ["book", "page_no"], "left")
     text = F.when(F.col("_more").isNull(), own).otherwise(F.concat_ws("<br />", F.nullif(own, F.lit("")), F.col("_more")))
     return joined.select("book", "page_no", text.alias("last_note"), stays.alias("continuation"), F.col("_target").isNotNull().alias("moved"))
+
+
+def ruled_sections(nodes: DataFrame) -> DataFrame:
+    """Roles of a page's nodes (page, pos, kind, text), where notes follow rules (kind ``hr``) instead of standing in blocks of their own.
+
+    Directly after a rule come, if at all, a paragraph that starts with ``=``
+    (role ``continuation``) and then notes, paragraphs (kind ``p``) that start
+    with a marker, up to the first other node; the rest is ``body``.
+    ``section`` counts rules: a note belongs to the rule before it, body text to
+    the rule that ends it.  Notes are numbered through the page, and ``target``
+    is the place of the open footnote (kind ``aside``, text ending with ``=``) that a
+    continuation belongs to: the nearest one before the rule, unless a note stands between.
+    """
+    order = Window.partitionBy("page").orderBy("pos")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    rule = F.col("kind") == "hr"
+    marked = (F.col("kind") == "p") & F.coalesce(F.col("text").rlike(r"^\s*" + MARKER), F.lit(False))
+    rows = nodes.withColumns({"_rules": F.sum(rule.cast("int")).over(upto), "_marked": marked})
+    # The nearest node before that closes (a note) or opens (an unfinished footnote) the way back, as of each rule.
+    way = F.when(F.col("_marked"), F.lit(-1)).when((F.col("kind") == "aside") & F.rtrim("text").endswith("="), F.col("pos"))
+    rows = rows.withColumn("_way", F.last(way, ignorenulls=True).over(upto))
+    group = Window.partitionBy("page", "_rules").orderBy("pos")
+    rows = rows.withColumns({"_k": F.row_number().over(group) - 1, "_open": F.first("_way").over(group)})
+    continues = (F.col("_rules") > 0) & (F.col("_k") == 1) & (F.col("kind") == "p") & ~F.col("_marked") & F.coalesce(F.length(F.regexp_extract("text", r"(?s)^\s*=\s*(.*\S)", 1)) > 0, F.lit(False))
+    rows = rows.withColumn("_continues", continues)
+    stops = (F.col("_k") > 0) & ~F.col("_marked") & ~F.col("_continues")
+    is_note = F.col("_marked") & (F.col("_rules") > 0) & ~F.coalesce(F.max(stops).over(group.rowsBetween(Window.unboundedPreceding, 0)), F.lit(False))
+    rows = rows.withColumn("role", F.when(F.col("kind") == "hr", "rule").when(F.col("_continues"), "continuation").when(is_note, "note").otherwise("body"))
+    number = F.sum((F.col("role") == "note").cast("int")).over(upto)
+    section = F.when(F.col("role") == "body", F.col("_rules") + 1).otherwise(F.col("_rules"))
+    return rows.select("page", "pos", "role", section.cast("int").alias("section"), F.when(F.col("role") == "note", number).cast("int").alias("note_id"), F.when(F.col("_continues") & (F.col("_open") >= 0), F.col("_open")).alias("target"))

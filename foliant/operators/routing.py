@@ -184,3 +184,8 @@ def persisted_options(text: Column, source: Column) -> dict[str, Column]:
             value = F.when(value.isin(D.OPTION_VALUES[name]), value)
         out[name] = F.coalesce(value, F.lit(default))
     return out
+
+
+def options_json() -> Column:
+    """All options of a row as compact JSON text, nulls kept."""
+    return F.to_json(F.struct(*map(F.col, D.OPTION_DEFAULTS)), {"ignoreNullFields": "false"})

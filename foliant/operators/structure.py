@@ -157,3 +157,14 @@ def reading_order(spine: DataFrame, items: DataFrame, entries: DataFrame) -> Dat
     first = both.groupBy("book", "name").agg(F.min(F.struct("_src", "pos")).alias("_at"))
     order = Window.partitionBy("book").orderBy("_at")
     return first.select("book", (F.row_number().over(order) - 1).alias("pos"), "name")
+
+
+def package_entry(rootfiles: DataFrame, entries: DataFrame) -> DataFrame:
+    """book and entry of each package document: the first rootfile (book, at, path) that is there, else a default place, else the first ``.opf`` by name."""
+    books = entries.select("book").distinct()
+    named = rootfiles.select("book", F.col("at").cast("int").alias("at"), F.col("path").alias("candidate"))
+    usual = books.select("book", F.posexplode(F.array(F.lit("OEBPS/content.opf"), F.lit("content.opf"))).alias("_k", "candidate")).select("book", (F.col("_k") + (1 << 30)).alias("at"), "candidate")
+    found = find_entry(named.unionByName(usual).withColumn("what", F.lit("package")), entries).select("book", F.col("entry").alias("_found"))
+    any_opf = entries.where(F.lower("name").endswith(".opf")).groupBy("book").agg(F.min("name").alias("_any"))
+    joined = books.join(found, "book", "left").join(any_opf, "book", "left")
+    return joined.select("book", F.coalesce("_found", "_any").alias("entry")).where("entry IS NOT NULL")

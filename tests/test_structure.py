@@ -181,3 +181,11 @@ def test_small_rules(spark, rows):
 
     full = routing.with_defaults(options)
     assert full.select(render.pandoc_arguments()).first()[0] == ["--standalone", "--toc", "--shift-heading-level-by", "-1"]
+
+
+def test_package_entry(spark, rows):
+    from foliant.operators import structure as s
+
+    names = [("a", 0, "x/Book.opf"), ("a", 1, "content.opf"), ("b", 0, "CONTENT.OPF"), ("c", 0, "z.opf"), ("c", 1, "b.OPF"), ("d", 0, "no.txt")]
+    roots = spark.createDataFrame([("a", 0, "gone.opf"), ("a", 1, "/x/book.opf "), ("b", 0, "")], "book STRING, at INT, path STRING")
+    assert rows(s.package_entry(roots, spark.createDataFrame(names, "book STRING, pos INT, name STRING"))) == [("a", "x/Book.opf"), ("b", "CONTENT.OPF"), ("c", "b.OPF")]

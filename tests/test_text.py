@@ -166,3 +166,46 @@ def test_sessions_over_a_stream(spark, tmp_path):
         stream.stop()
     got = sorted((r.request, r.accesses) for r in spark.sql("SELECT * FROM sessions").collect())
     assert got == [("a", 2), ("b", 1)]
+
+
+def naive_roles(nodes):
+    """Roles, notes and targets of one page's (kind, text), by walking."""
+    import re
+
+    marked = lambda n: n[0] == "p" and re.match(r"\s*(\(\^?\d+\)|\[\^?\d+\])", n[1] or "") is not None
+    out = {k: ["rule" if n[0] == "hr" else "body", None, None] for k, n in enumerate(nodes)}
+    count = 0
+    for k, (kind, _) in enumerate(nodes):
+        if kind != "hr":
+            continue
+        after = k + 1
+        if after < len(nodes) and nodes[after][0] == "p" and not marked(nodes[after]) and (nodes[after][1] or "").strip().startswith("=") and (nodes[after][1] or "").strip()[1:].strip():
+            back = next((j for j in range(k - 1, -1, -1) if marked(nodes[j]) or (nodes[j][0] == "aside" and nodes[j][1].rstrip(" ").endswith("="))), None)
+            out[after] = ["continuation", None, None if back is None or marked(nodes[back]) else back]
+            after += 1
+        while after < len(nodes) and marked(nodes[after]):
+            count += 1
+            out[after] = ["note", count, None]
+            after += 1
+    return out
+
+
+def test_ruled_sections(spark):
+    import random
+
+    rng = random.Random(4)
+    kinds = [("hr", None), ("p", "(1) note"), ("p", "text (2)"), ("p", "= goes on"), ("p", "="), ("aside", "open ="), ("aside", "closed"), ("p", " [3] note"), ("p", None)]
+    pages = {p: [rng.choice(kinds) for _ in range(rng.randint(1, 14))] for p in range(80)}
+    df = spark.createDataFrame([(p, k, *n) for p, nodes in pages.items() for k, n in enumerate(nodes)], "page INT, pos INT, kind STRING, text STRING")
+    got = {(r.page, r.pos): [r.role, r.note_id, r.target] for r in footnotes.ruled_sections(df).collect()}
+    assert got == {(p, k): v for p, nodes in pages.items() for k, v in naive_roles(nodes).items()}
+
+
+def test_options_as_json(spark):
+    import json
+
+    from foliant.operators import routing
+    from foliant.plans import domains
+
+    row = routing.with_defaults(spark.createDataFrame([("a", "b")], "input STRING, output STRING")).select(routing.options_json()).first()
+    assert json.loads(row[0]) == domains.OPTION_DEFAULTS
