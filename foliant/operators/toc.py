@@ -53,12 +53,13 @@ def with_paths(nodes: DataFrame, depth: int) -> DataFrame:
 
 
 def page_aliases(pages: DataFrame) -> DataFrame:
-    """book, href and page: every way a link may name a page's entry (book, page_number, name); the first page wins."""
+    """book, href and page: every way a link may name a page's entry (book, page_number, name, and pos where reading order differs); the first page wins."""
+    order = "pos" if "pos" in pages.columns else "page_number"
     clean = F.lower(F.btrim(F.trim("name"), F.lit("/")))
     stripped = F.when(F.startswith(clean, F.lit("oebps/")), F.substring(clean, 7, 1 << 30))
     outside = F.when(~F.startswith(clean, F.lit("oebps/")), F.concat(F.lit("../"), clean))
-    rows = pages.where(clean != "").select("book", "page_number", F.explode(F.array_distinct(F.filter(F.array(clean, stripped, outside), lambda x: x.isNotNull()))).alias("href"))
-    return rows.groupBy("book", "href").agg(F.min_by("page_number", "page_number").alias("page"))
+    rows = pages.where(clean != "").select("book", "page_number", F.col(order).alias("_at"), F.explode(F.array_distinct(F.filter(F.array(clean, stripped, outside), lambda x: x.isNotNull()))).alias("href"))
+    return rows.groupBy("book", "href").agg(F.min_by("page_number", "_at").alias("page"))
 
 
 def resolved(nodes: DataFrame, aliases: DataFrame) -> DataFrame:

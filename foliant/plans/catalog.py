@@ -798,3 +798,24 @@ def translated_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = P.table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("b"), F.col("event_id") % 3).alias("message"), F.when(k == 0, "ar").when(k == 1, "en").otherwise("").alias("language"))
     dictionary = spark.createDataFrame([("ar", "b0", "ar   b0"), ("ar", "b1", "ar  b1")], "language STRING, message STRING, text STRING")
     return render.translated(asked, dictionary)
+
+
+@query(f"""WITH {LINES}, en AS (SELECT l_orderkey AS book, CASE WHEN l_partkey % 5 = 0 THEN 'content.opf' WHEN l_partkey % 5 = 1 THEN 'x/' || (l_partkey % 9) || '.OPF' ELSE 'a' || pos END AS name, pos FROM li),
+r AS (SELECT DISTINCT l_orderkey AS book, 'x/' || (l_suppkey % 9) || '.opf' AS path, pos AS k FROM li), f AS (SELECT en.book, arg_min(en.name, (r.k, -en.pos)) AS entry FROM r JOIN en ON en.book = r.book AND lower(en.name) = r.path GROUP BY en.book),
+d AS (SELECT DISTINCT book, name AS entry FROM en WHERE name = 'content.opf'), a AS (SELECT book, min(name) AS entry FROM en WHERE lower(name) LIKE '%.opf' GROUP BY book)
+SELECT a.book, coalesce(f.entry, d.entry, a.entry) AS entry FROM a LEFT JOIN f ON a.book = f.book LEFT JOIN d ON a.book = d.book""")
+def package_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = P.numbered_lines(spark, sf_dir)
+    k = F.col("l_partkey") % 5
+    name = F.when(k == 0, "content.opf").when(k == 1, F.concat(F.lit("x/"), F.col("l_partkey") % 9, F.lit(".OPF"))).otherwise(F.concat(F.lit("a"), F.col("pos")))
+    roots = lines.select(F.col("l_orderkey").alias("book"), F.col("pos").alias("at"), F.concat(F.lit("x/"), F.col("l_suppkey") % 9, F.lit(".opf")).alias("path"))
+    return structure.package_entry(roots, lines.select(F.col("l_orderkey").alias("book"), "pos", name.alias("name")))
+
+
+@query()
+def ruled_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as the nodes of a page; the way back to an open footnote has no short SQL form, tests walk it."""
+    k = F.col("l_partkey") % 6
+    kind = F.when(k == 0, "hr").when(k == 1, "aside").otherwise("p")
+    text = F.when(k == 1, "open =").when(k == 2, "= goes on").when(k < 5, F.concat(F.lit("("), F.col("pos"), F.lit(") note"))).otherwise("text")
+    return footnotes.ruled_sections(P.numbered_lines(spark, sf_dir).select(F.col("l_orderkey").alias("page"), "pos", kind.alias("kind"), text.alias("text")))
