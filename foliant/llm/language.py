@@ -178,7 +178,10 @@ class Scorer:
         self._size = np.concatenate([self._size, np.fromiter(map(len, words), np.int64, len(words)) + 1])
 
     def entropies(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy per character for each language, and the characters of letter runs of each text (0: no letter)."""
+        """Cross-entropy per character for each language, and the (weighted) characters of letter runs of each text (0: no letter).
+
+        A word weighs the root of its occurrences, so that a phrase repeated without end doesn't drown the rest.
+        """
         if len(self._place) > self._limit:
             self._clear()
         distinct, at, bounds = words_of(texts)
@@ -186,11 +189,15 @@ class Scorer:
         for k in range(0, len(fresh), 50_000):
             self._learn(fresh[k : k + 50_000])
         rows = np.fromiter((self._place.get(w, -1) for w in distinct), np.int64, len(distinct))
-        logp = np.vstack([self._logp, np.zeros((1, self._logp.shape[1]))])[rows][at]
-        size = np.append(self._size, 0)[rows][at]
-        summed = lambda x: np.diff(np.concatenate([np.zeros((1, *x.shape[1:]), x.dtype), np.cumsum(x, axis=0)])[bounds], axis=0)
-        chars = summed(size)
-        return -summed(logp) / np.maximum(chars, 1)[:, None], chars
+        logp = np.vstack([self._logp, np.zeros((1, self._logp.shape[1]))])[rows]
+        size = np.append(self._size, 0)[rows]
+        owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
+        pair, times = np.unique(owner * max(1, len(distinct)) + at, return_counts=True)
+        of, word = np.divmod(pair, max(1, len(distinct)))
+        weight = np.sqrt(times)
+        chars = np.bincount(of, weights=weight * size[word], minlength=len(texts))
+        sums = [np.bincount(of, weights=weight * logp[word, k], minlength=len(texts)) for k in range(logp.shape[1])]
+        return -np.stack(sums, axis=1) / np.maximum(chars, 1)[:, None], chars
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language, score from 0 to 1, rejected) of each text; null counts as empty."""
@@ -218,7 +225,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, documents: int = 150, characters: int = 600_000, slack: float = 2.0, spread: float = 12.0) -> Identifier:
+def fit(docs: DataFrame, documents: int = 150, characters: int = 600_000, slack: float = 3.0, spread: float = 12.0) -> Identifier:
     """Models from at most ``documents`` labelled documents, and about ``characters`` characters, of each language of ``docs`` (doc_id, text, lang) that are not held out."""
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang")
