@@ -17,6 +17,7 @@ OPENING = "بسم الله الرحمن الرحيم"
 PART_LABEL, PAGE_LABEL, AUTHOR_LABEL = "الجزء: ", "الصفحة: ", "المؤلف: "
 # Lines from this length are split before numbers; longest title taken from a page.
 LONG_LINE, LONGEST_TITLE = 220, 100
+# A number that begins an item, in digits of any script, and a line that begins so.
 _NUMBER = r"(?:[0-9]{1,4}|[٠-٩]{1,4}|[۰-۹]{1,4})\s*[-–—]\s+"
 NUMBERED_LINE = r"^(?:[0-9٠-٩۰-۹]{1,4})\s*[-–—]\s+"
 
@@ -167,6 +168,7 @@ def right_to_left_css(css: Column) -> Column:
 def command_errors(log: Column) -> Column:
     """The failure messages of a converter's log, one a line, without asterisks; empty for none."""
     lines = F.filter(F.split(log, r"\r?\n"), lambda x: ~(x.contains(":fixme:") | x.contains("DEBUG -") | x.contains("INFO -")))
+    # Fixed value: the two forms of a failure message.
     pattern = r"(Conversion Failure Reason\s+\*{5,}\s+[E0-9]+:.*|Conversion error: .*)"
     found = F.regexp_extract_all(F.array_join(lines, "\n"), F.lit(pattern), F.lit(1))
     return F.replace(F.array_join(F.transform(found, strip), "\n"), F.lit("*"), F.lit(""))

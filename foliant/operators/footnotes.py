@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.text import ARABIC_DIGITS, ASCII_DIGITS, strip
 
+# Fixed value: a reference to a note, in either kind of brackets.
 MARKER = r"(\(\^?\p{Nd}+\)|\[\^?\p{Nd}+\])"
 # A note line starts with a bracketed number, or, where a block has none, with a plain one.
 EXPLICIT_NOTE = r"(?s)^\s*((?:\(\s*\^?\p{Nd}+\s*\))|(?:\[\s*\^?\p{Nd}+\s*\]))(.*)$"

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Fixed value: the id of a numbered page.
 PAGE_ID = r"^page_([0-9]+)$"
 
 
