@@ -36,28 +36,32 @@ class ChunkTable:
     before it; without, the library treats both alike.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Encoded], each: Callable[[list[str]], Encoded], prepare: Callable[[pa.Array], pa.Array], spaced: bool, limit: int = 500_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], Encoded], each: Callable[[list[str]], Encoded], prepare: Callable[[pa.Array], pa.Array], spaced: bool, limit: int = 600_000) -> None:
         self._encode, self._each, self._prepare, self._spaced, self._limit = encode, each, prepare, spaced, limit
         self._place: dict[str, int] = {}
         self._ids = np.zeros(0, np.uint32)
         self._start = np.zeros(0, np.int64)
         self._length = np.zeros(0, np.int64)
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
+        chunks = [w[1:] if w[:1] == "\x01" else f" {w}" for w in words] if self._spaced else words
         ids, lengths = self._encode(chunks)
         base = len(self._start)
-        self._place.update(zip(chunks, range(base, base + len(chunks)), strict=True))
+        self._place.update(zip(words, range(base, base + len(words)), strict=True))
         ends = np.cumsum(lengths) + len(self._ids)
         self._start = np.concatenate([self._start, ends - lengths])
         self._length = np.concatenate([self._length, lengths])
         self._ids = np.concatenate([self._ids, ids])
 
-    def _places(self, chunks: list[str]) -> np.ndarray:
-        known = self._place
-        fresh = [c for c in chunks if c not in known]
+    def _places(self, words: list[str]) -> np.ndarray:
+        places = list(map(self._place.get, words))
+        fresh = [k for k, p in enumerate(places) if p is None]
         if fresh:
-            self._learn(fresh)
-        return np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
+            base = len(self._start)
+            self._learn([words[k] for k in fresh])
+            for n, k in enumerate(fresh, base):
+                places[k] = n
+        return np.array(places, np.int64)
 
     def texts(self, texts: pa.Array) -> Encoded:
         """(ids of all texts in order, offsets of each text's ids); null counts as empty."""
@@ -102,10 +106,7 @@ class ChunkTable:
         split = pc.split_pattern(self._prepare(texts), " ")
         bounds = split.offsets.to_numpy()
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if self._spaced:
-            words = [w[1:] if w[:1] == "\x01" else f" {w}" for w in words]
-        places = self._places(words)[coded.indices.to_numpy()]
+        places = self._places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
         bounds = bounds - bounds[0]
         lengths = self._length[places]
         ends = np.cumsum(lengths)
