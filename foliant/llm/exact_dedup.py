@@ -94,17 +94,21 @@ def recipes(docs: DataFrame) -> DataFrame:
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of every row of ``docs`` (doc_id, text)."""
-    joined = lambda c: F.aggregate(c, F.lit(b""), lambda a, x: F.concat(a, x))
-    table = written(recipes(docs).select("doc_id", "text_sha256", "names", "checks", F.sha2(F.concat(joined("names"), F.lit(b"|"), joined("checks")), 256).alias("recipe_checked")), "recipes")
+    joined = lambda c: F.array_join(F.transform(c, F.hex), ",")
+    table = written(recipes(docs).select("doc_id", "text_sha256", "names", "checks", F.sha2(F.concat(joined("names"), F.lit("|"), joined("checks")), 256).alias("recipe_checked")), "recipes")
     chunks = table.select("recipe_checked", F.explode(F.arrays_zip("names", "checks")).alias("c")).select("recipe_checked", F.hex("c.names").alias("name"), F.hex("c.checks").alias("check"))
     distinct = chunks.select("name", "check").distinct()
-    unverified = distinct.groupBy("name").agg(F.count("*").alias("contents")).where("contents > 1").select("name")
-    unsure = chunks.join(unverified, "name", "left_semi").select("recipe_checked").distinct().withColumn("unsure", F.lit(True))
-    named = table.join(unsure, "recipe_checked", "left").select("doc_id", "text_sha256", F.when(F.col("unsure"), F.col("recipe_checked")).otherwise(F.sha2(joined("names"), 256)).alias("recipe"))
+    unverified = written(distinct.groupBy("name").agg(F.count("*").alias("contents")).where("contents > 1").select("name"), "unverified")
+    short = F.sha2(joined("names"), 256)
+    if unverified.isEmpty():  # all names are verified: no chunk needs to meet them again
+        named = table.select("doc_id", "text_sha256", short.alias("recipe"))
+    else:
+        unsure = chunks.join(unverified, "name", "left_semi").select("recipe_checked").distinct().withColumn("unsure", F.lit(True))
+        named = table.join(unsure, "recipe_checked", "left").select("doc_id", "text_sha256", F.when(F.col("unsure"), F.col("recipe_checked")).otherwise(short).alias("recipe"))
     mark = F.xxhash64("text_sha256")
     groups = named.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.min(mark).alias("low"), F.max(mark).alias("high")).where("group_size > 1")
     agreed = F.when(F.col("low") == F.col("high"), F.col("group_size")).otherwise(F.raise_error(F.lit("texts of one recipe differ")).cast("long"))
     # As a table of its own, so that a hot recipe's rows can be split over tasks in the join.
     several = written(groups.select("recipe", "keep_id", agreed.alias("group_size")), "groups")
-    joined = named.join(several, "recipe", "left").select("doc_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), "text_sha256")
-    return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    rows = named.join(several, "recipe", "left").select("doc_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), "text_sha256")
+    return rows.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
