@@ -6,9 +6,9 @@ weights.  A document gets the language with the lowest cross-entropy per
 character; no n-gram spans two words, so a word's log-probability is the same
 everywhere and each task scores every distinct word once.
 
-Models are fitted on a bounded sample: at most ``documents`` labelled documents
-for each language, in the order of a hash of their ids, and of these as many as
-``characters`` allow.  One in five of them is set aside to calibrate rejection:
+Models are fitted on a bounded sample: of each of the ``languages`` most
+frequent labels at most ``documents`` documents, in the order of a hash of
+their ids, and of these as many as ``characters`` allow.  One in five of them is set aside to calibrate rejection:
 a document is rejected if its cross-entropy exceeds the mean of its language by
 more than ``slack`` and by more than ``spread`` deviations for its length, or if it has no letter.
 
@@ -225,24 +225,31 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, documents: int = 150, characters: int = 600_000, slack: float = 3.0, spread: float = 12.0) -> Identifier:
-    """Models from at most ``documents`` labelled documents, and about ``characters`` characters, of each language of ``docs`` (doc_id, text, lang) that are not held out."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+def fit(docs: DataFrame, documents: int = 150, characters: int = 600_000, languages: int = 200, slack: float = 3.0, spread: float = 12.0) -> Identifier:
+    """Models of the ``languages`` most frequent labels of ``docs`` (doc_id, text, lang), from rows that are not held out.
+
+    The sample of a language is bounded: ``documents`` documents and ``characters``
+    characters, documents of a quarter of these or more only where others leave room (one at least).
+    """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang")
-    chosen = [r["doc_id"] for r in labelled.withColumn("r", F.row_number().over(order)).where(F.col("r") <= documents).collect()]
-    rows = docs.where(F.col("doc_id").isin(chosen) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", "text").distinct().collect() if chosen else []
+    known = [r["lang"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()]
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = [r["doc_id"] for r in labelled.where(F.col("lang").isin(known)).withColumn("r", F.row_number().over(order)).where(F.col("r") <= documents).collect()] if known else []
     by: dict[str, list[str]] = {}
-    for row in sorted(rows, key=lambda r: (r["lang"], r["h"], r["doc_id"])):
-        own = by.setdefault(row["lang"], [])
-        if sum(map(len, own)) < characters:
-            own.append(row["text"])
+    if chosen:
+        size = F.length("text")
+        texts = docs.where(F.col("doc_id").isin(chosen) & F.col("lang").isin(known) & F.col("text").isNotNull()).select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", "text", (size * 4 >= characters).alias("long")).distinct()
+        room = Window.partitionBy("lang").orderBy("long", "h", "doc_id", "text")
+        fitting = texts.withColumns({"r": F.row_number().over(room), "upto": F.sum(size).over(room.rowsBetween(Window.unboundedPreceding, 0))}).where((F.col("r") == 1) | (F.col("upto") <= characters))
+        for row in sorted(fitting.select("lang", "r", "text").collect(), key=lambda r: (r["lang"], r["r"])):
+            by.setdefault(row["lang"], []).append(row["text"])
     learn = {lang: [t for k, t in enumerate(texts) if k % 5 != 4] for lang, texts in by.items()}
     learn = {lang: texts for lang, texts in sorted(learn.items()) if any(map(str.isalpha, "".join(texts)))}
-    languages = list(learn)
-    identifier = Identifier(languages, [train(learn[k]) for k in languages], np.zeros((len(languages), 2)), slack, spread)
-    if languages:
+    names = list(learn)
+    identifier = Identifier(names, [train(learn[k]) for k in names], np.zeros((len(names), 2)), slack, spread)
+    if names:
         scorer = Scorer(identifier)
-        for k, lang in enumerate(languages):
+        for k, lang in enumerate(names):
             aside = [t for i, t in enumerate(by[lang]) if i % 5 == 4] or learn[lang]
             entropy, chars = scorer.entropies(pa.array(aside, pa.large_string()))
             own, chars = entropy[chars > 0, k], chars[chars > 0]

@@ -196,3 +196,11 @@ def test_pipeline(spark):
     assert {r.doc_id for r in docs.collect()} == set(hidden)
     again = p.run(spark, SF)
     assert again.count() == docs.count() and again.columns == docs.columns
+
+
+def test_the_sample_is_bounded(spark):
+    rows = [(k, f"{'the cat sat on a mat ' * (1 if k % 7 else 9000)}{k}", f"l{k % 5}") for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING")
+    learnable = collections.Counter(lang for k, _, lang in rows if zlib.crc32(str(k).encode()) % 4 != 2)
+    assert language.fit(df, languages=2).languages == sorted(sorted(learnable, key=lambda x: (-learnable[x], x))[:2])
+    assert language.fit(df, documents=1, characters=1).languages == ["l0", "l1", "l2", "l3", "l4"]
