@@ -65,6 +65,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_line_dedup, op2_exact_dedup, op3_token_output, op4_top_k, op5_near_dedup, op6_secret_scan, op7_language, op8_sentencepiece, op9_token_counts, op10_packing)
 }
 
+# Letters of the key words in either case, without case folding beyond ASCII.
+_KEY_WORDS = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+_PATTERNS = (("assign", f"""({_KEY_WORDS})["\'\']?\\x20*[:=]\\x20*["\'\']?([A-Za-z0-9+/_.=-]+)""", 2), ("access", "AKIA[A-Z0-9]{12,}", 0), ("hex", "[0-9a-f]{32,}", 0), ("generic", "[A-Za-z0-9+/_-]{24,}", 0))
+_MATCHES = " UNION ALL ".join(f"SELECT doc_id, source, {k} AS kind, '{name}' AS name, string_split_regex(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}', 0) AS hits, regexp_extract_all(t, '{pattern}', {group}) AS vals FROM d" for k, (name, pattern, group) in enumerate(_PATTERNS))
+
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": r"""
 WITH d AS (SELECT doc_id, source, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
@@ -80,6 +85,33 @@ SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(lines) END::BIGINT AS n_li
     "op2_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+""",
+    "op5_near_dedup": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS x FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT u, v FROM p JOIN n nu ON u = nu.doc_id JOIN n nv ON v = nv.doc_id WHERE 100 * c >= 85 * (nu.n + nv.n - c)),
+l AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+r AS (SELECT doc_id, doc_id AS reached FROM documents UNION SELECT r.doc_id, l.v FROM r JOIN l ON r.reached = l.u),
+c AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id)
+SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n ON c.doc_id = n.doc_id
+""",
+    "op6_secret_scan": f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents), m AS ({_MATCHES}),
+x AS (SELECT doc_id, source, kind, name, gaps, hits, vals, unnest(range(1, len(hits) + 1)) AS i FROM m WHERE len(hits) > 0),
+s AS (SELECT doc_id, source, kind, name, hits[i] AS hit, vals[i] AS val,
+        list_sum(list_transform(gaps[1:i], lambda g: length(g)))::BIGINT + coalesce(list_sum(list_transform(hits[1:i - 1], lambda g: length(g))), 0)::BIGINT AS start FROM x),
+v AS (SELECT *, start + length(hit) AS stop, regexp_matches(val, '[0-9]') AND len(list_distinct(string_split(val, ''))) >= 6 AS varied FROM s),
+base AS (SELECT * FROM v WHERE kind < 3 AND length(val) >= 8),
+extra AS (SELECT * FROM v WHERE kind = 3 AND varied AND regexp_matches(val, '[a-z]') AND regexp_matches(val, '[A-Z]')
+          AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = v.doc_id AND b.start < v.stop AND v.start < b.stop)),
+al AS (SELECT * FROM base UNION ALL SELECT * FROM extra), o AS (SELECT val, count(DISTINCT coalesce(source, chr(0))) AS owners FROM al GROUP BY val),
+j AS (SELECT al.*, owners <= 2 AND varied AS live FROM al JOIN o ON al.val = o.val WHERE kind < 3 OR (owners <= 2 AND varied)),
+g AS (SELECT doc_id, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS k, count(*) FILTER (kind = 2) AS h, count(*) FILTER (live) AS n_live,
+        string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER (kind < 3) AS b, string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) AS spans FROM j GROUP BY doc_id)
+SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+FROM d LEFT JOIN g ON d.doc_id = g.doc_id
 """,
     "op4_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
