@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.tokens import loaded, sliced
+from foliant.llm.tokens import loaded, sliced, trim
 
 ORDER = 5
 _BASE = 0x9E3779B97F4A7C15
@@ -218,6 +218,7 @@ class Scorer:
             mean, deviation = self._of.calibration[pick].T
             excess = entropy.min(axis=1) - mean
             rejected.append(none | (excess > np.maximum(self._of.slack, self._of.spread * deviation / np.sqrt(np.maximum(chars, 1)))))
+        trim()
         return names, np.concatenate(scores or [np.zeros(0)]), np.concatenate(rejected or [np.zeros(0, bool)])
 
 

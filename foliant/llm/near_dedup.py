@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm.components import components
 from foliant.llm.store import written
+from foliant.llm.tokens import trim
 
 WORDS, ROWS, BLOCK = 5, 3, 512
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -122,6 +123,7 @@ def signatures(docs: DataFrame, percent: int) -> DataFrame:
                 [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(name[:, 0]), pa.array(name[:, 1]), pa.array(halves, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
                 names=["doc_id", "n_shingles", "k0", "k1", "halves", "sketch"],
             )
+            trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, k0 long, k1 long, halves array<bigint>, sketch binary")
 

@@ -11,6 +11,7 @@ white space differ go to the library whole.
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Callable, Iterator
 from itertools import islice
@@ -22,11 +23,20 @@ import pyarrow.compute as pc
 #: A text matching this is not cut.
 _UNCUT = r"\s\s|^\s|\s$|[\x00\x01\x0b\x1c-\x1f\x85\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}▁]"
 #: Bytes of text handled at a time.
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 4_000_000
 
 Encoded = tuple[np.ndarray, np.ndarray]
 
 
+def trim() -> None:
+    """Give freed memory back to the system where the C library can; else it stays with this worker."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 class ChunkTable:
     """Ids of texts through a table of about ``limit`` chunks, and those of one slice.
 
@@ -36,7 +46,7 @@ class ChunkTable:
     before it; without, the library treats both alike.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Encoded], each: Callable[[list[str]], Encoded], prepare: Callable[[pa.Array], pa.Array], spaced: bool, limit: int = 600_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], Encoded], each: Callable[[list[str]], Encoded], prepare: Callable[[pa.Array], pa.Array], spaced: bool, limit: int = 450_000) -> None:
         self._encode, self._each, self._prepare, self._spaced, self._limit = encode, each, prepare, spaced, limit
         self._place: dict[str, int] = {}
         self._ids = np.zeros(0, np.uint32)
@@ -74,6 +84,7 @@ class ChunkTable:
         offsets = np.zeros(len(texts) + 1, np.int64)
         if parts:
             np.cumsum(np.concatenate(lengths), out=offsets[1:])
+        trim()
         return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), offsets
 
     def _slice(self, texts: pa.Array) -> Encoded:
@@ -215,6 +226,7 @@ def loaded(kind: Callable, source: str):
     if key not in _LOADED:
         for other in [k for k in _LOADED if k[1] != source]:
             del _LOADED[other]
+        trim()
         _LOADED[key] = kind(source)
     return _LOADED[key]
 
