@@ -12,8 +12,8 @@ Blocks of at most ``BLOCK`` vectors are single rows.  Candidate blocks are dealt
 over twice as many parts as there are shuffle partitions and move once; query
 blocks are sent to every part, where each pair of blocks is one unit of work.
 Nothing that grows with the data is broadcast or collected.  Each unit returns
-k rows per query; these are merged by two windows, first within groups of
-candidate blocks.
+k rows per query; these are merged to one row for each id, then cut by two
+windows, first within groups of ids.
 
 Edge cases: vectors that are null, empty, or hold a null or non-finite component, and rows
 without an id, take no part; only vectors of equal dimension meet; a query
@@ -90,6 +90,7 @@ def best(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k
     """For each query, the ids and scores of its k best rows in this block."""
     of_q, of_x = statistics(q), statistics(x)
     coarse = of_q[0] @ of_x[0].T
+    repeated = len(np.unique(ids)) < len(ids)
     for i, query in enumerate(q):
         other = np.flatnonzero(ids != query_ids[i])
         if not len(other):
@@ -97,9 +98,11 @@ def best(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k
         bound = coarse[i, other]
         # Rounding errors of the bounds stay below this.
         slack = 1e-9 * (np.abs(of_q[0][i]).sum() * np.abs(of_x[0]).max() + 1)
-        seeds = other[np.argsort(-bound)[: 4 * k]]
-        exact = _scores(query, x[seeds])
-        least = np.sort(exact)[-min(k, len(exact))] if len(exact) >= k else -np.inf
+        seeds = other[np.argsort(-bound)]
+        if repeated:  # only the row of an id with the greatest bound, so that k seeds are k ids
+            seeds = seeds[np.sort(np.unique(ids[seeds], return_index=True)[1])]
+        exact = _scores(query, x[seeds[: 4 * k]])
+        least = np.sort(exact)[-k] if len(exact) >= k else -np.inf
         left = other[bound + slack >= least]
         for level in range(1, len(LEVELS)):
             left = left[of_x[level][left] @ of_q[level][i] + slack >= least]
@@ -131,6 +134,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: int = 256) -> D
     left = blocks(queries, scale).select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), "dim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part")).repartition(parts, "dim", "part")
     units = right.join(left.hint("merge"), ["dim", "part"])
     rows = units.mapInArrow(run, "block long, query_id long, vec_id long, score long")
-    few = rows.withColumn("dealt", F.pmod(F.xxhash64("block"), F.lit(64))).withColumn("r", F.row_number().over(spread)).where(F.col("r") <= k)
-    merged = few.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return merged.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # Repeated rows of an id are one row before any are counted; then an id is in one group only.
+    merged = rows.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    few = merged.withColumn("dealt", F.pmod(F.xxhash64("vec_id"), F.lit(64))).withColumn("r", F.row_number().over(spread)).where(F.col("r") <= k)
+    return few.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

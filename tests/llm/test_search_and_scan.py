@@ -59,6 +59,19 @@ def test_top_k_of_hard_rows(spark):
     assert top(df.where("vec_id = 50")) == [] and top(df.limit(0)) == []
 
 
+@pytest.mark.parametrize("block", [2048, 1])
+def test_top_k_of_repeated_ids(spark, monkeypatch, block):
+    monkeypatch.setattr(topk, "BLOCK", block)
+    rng = np.random.default_rng(1)
+    vectors = [(k, rng.normal(size=8).tolist()) for k in range(120)]
+    vectors += [(k, v) for k, v in vectors if k % 50 == 0] * 5  # query rows that stand six times
+    vectors += [(k, [2 * x for x in v]) for k, v in vectors[1:30] if k % 50] * 8  # candidates with copies and other vectors
+    vectors += [(7, [3.0] * 8), (8, [-3.0] * 8)] * 300  # enough to fill every group of blocks
+    df = spark.createDataFrame([vectors[i] for i in rng.permutation(len(vectors))], "vec_id LONG, embedding ARRAY<DOUBLE>").coalesce(1)
+    found = top(df)
+    assert found == naive_top(vectors, 5) and {q for q, *_ in found} == {0, 50, 100} and len(found) == 15
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 20), st.integers(1, 9), st.integers(0, 2**32))
 def test_bounds_hold(dimension, n, seed):
