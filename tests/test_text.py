@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import datetime
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from foliant.functions import encodings
 from foliant.functions import text as T
 from foliant.operators import assembly, footnotes
+from foliant.plans import catalog
 from foliant.streaming import requests
 
 
@@ -49,6 +52,25 @@ def test_lines(apply):
     assert apply(lambda c: T.without_empty(F.split(c, ",")), "a, ,b") == [["a", "b"]]
 
 
+def test_plain_lines_of_all_documents(spark, tmp_path):
+    rng = random.Random(3)
+    words = ["word", "12 - item", "x1 - y", "٣ – بند", "9999 — last", "12345 - no", "7-tight", "end"]
+    texts = ["\n".join(" ".join(rng.choice(words) for _ in range(rng.choice([3, 30, 60]))) for _ in range(rng.randint(1, 5))) for _ in range(60)] + ["", None]
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, "doc_id LONG, text STRING").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def twin(text):
+        out = []
+        for line in filter(None, map(str.strip, (text or "").split("\n"))):
+            parts = [x.strip() for x in re.split(r"(?=(?:^|\s)(?:[0-9]{1,4}|[٠-٩]{1,4})\s*[-–—]\s+)", line) if x.strip()]
+            out += parts if len(line) >= 220 and len(parts) >= 2 else [line]
+        return out
+
+    want = [(k, len(twin(t)), None if t is None else len(re.sub(r"\s", "", t))) for k, t in rows]
+    assert any(len(line) >= 220 and re.search(r"\s12 - ", line) for t in texts for line in (t or "").split("\n"))
+    assert sorted(map(tuple, catalog.plain_lines(spark, str(tmp_path)).collect())) == want
+
+
 def test_headings_once(spark):
     df = spark.createDataFrame([(["a", "a", "b", "a"],), ([],)], "h ARRAY<STRING>")
     assert [r[0] for r in df.select(T.headings_once(F.col("h"))).collect()] == [["a", "b", "a"], []]
