@@ -9,8 +9,12 @@ everywhere and each task scores every distinct word once.
 Models are fitted on a bounded sample: of each of the ``languages`` most
 frequent labels at most ``documents`` documents, in the order of a hash of
 their ids, and of these as many as ``characters`` allow.  One in five of them is set aside to calibrate rejection:
-a document is rejected if its cross-entropy exceeds the mean of its language by
-more than ``slack`` and by more than ``spread`` deviations for its length, or if it has no letter.
+a document is rejected if it has no letter, or if its cross-entropy, with every word in the
+language that fits it best (so that documents that mix known languages stay), exceeds the mean
+of its language by more than ``spread`` deviations for its length and by more than the limit of
+the language.  The limit is three quarters of what lies between a language and the set-aside
+documents of another (the median of all pairs); not below any set-aside document of its own,
+and ``slack`` at most (and where there is one language only).
 
 Edge cases: null, empty and letterless texts are ``und`` with score 0; ties go
 to the language that sorts first; without any labelled text everything is
@@ -37,11 +41,19 @@ _BASE = 0x9E3779B97F4A7C15
 _POWERS = np.array([pow(_BASE, k, 1 << 64) for k in range(ORDER + 1)], np.uint64)
 #: Characters that no model has seen share one unit of probability.
 UNSEEN = 1000.0
+#: A text is rejected at this share of the distance between known languages.
+FOREIGN = 0.75
 
 
 def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct lower-case runs of letters, the place of every run among them, and the runs' bounds for each text."""
-    lower = pc.replace_substring_regex(pc.utf8_lower(texts), r"\PL+", " ")
+    """Distinct lower-case runs of letters, the place of every run among them, and the runs' bounds for each text.
+
+    Runs that touch a digit (keys, hashes) are left out of a text that has others.
+    """
+    text = pc.utf8_lower(texts)
+    plain = pc.replace_substring_regex(text, r"\pL*\pN[\pL\pN]*|\PL+", " ")
+    bare = pc.equal(pc.ascii_trim_whitespace(plain), "")
+    lower = pc.if_else(bare, pc.replace_substring_regex(pc.if_else(bare, text, ""), r"\PL+", " "), plain)
     split = pc.split_pattern(lower, " ")
     coded = split.flatten().dictionary_encode()
     bounds = split.offsets.to_numpy()
@@ -148,12 +160,11 @@ def train(texts: list[str]) -> Model:
 
 @dataclass
 class Identifier:
-    """Models by language with the calibration of rejection; ``calibration`` has (mean, deviation for one character) for each language."""
+    """Models by language with the calibration of rejection; ``calibration`` has (mean, deviation for one character, limit above the mean) for each language."""
 
     languages: list[str]
     models: list[Model]
     calibration: np.ndarray
-    slack: float
     spread: float
 
 
@@ -177,8 +188,8 @@ class Scorer:
         self._logp = np.concatenate([self._logp, logp])
         self._size = np.concatenate([self._size, np.fromiter(map(len, words), np.int64, len(words)) + 1])
 
-    def entropies(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy per character for each language, and the (weighted) characters of letter runs of each text (0: no letter).
+    def entropies(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cross-entropy per character for each language, the (weighted) characters of letter runs of each text (0: no letter), and its cross-entropy with every word in the language that fits it best.
 
         A word weighs the root of its occurrences, so that a phrase repeated without end doesn't drown the rest.
         """
@@ -197,7 +208,8 @@ class Scorer:
         weight = np.sqrt(times)
         chars = np.bincount(of, weights=weight * size[word], minlength=len(texts))
         sums = [np.bincount(of, weights=weight * logp[word, k], minlength=len(texts)) for k in range(logp.shape[1])]
-        return -np.stack(sums, axis=1) / np.maximum(chars, 1)[:, None], chars
+        mixed = -np.bincount(of, weights=weight * logp.max(axis=1)[word], minlength=len(texts)) / np.maximum(chars, 1)
+        return -np.stack(sums, axis=1) / np.maximum(chars, 1)[:, None], chars, mixed
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language, score from 0 to 1, rejected) of each text; null counts as empty."""
@@ -209,15 +221,15 @@ class Scorer:
                 scores.append(np.zeros(len(piece)))
                 rejected.append(np.ones(len(piece), bool))
                 continue
-            entropy, chars = self.entropies(piece)
+            entropy, chars, mixed = self.entropies(piece)
             pick = entropy.argmin(axis=1)
             none = chars == 0
             names += ["und" if n else self._of.languages[p] for p, n in zip(pick, none, strict=True)]
             share = np.exp(entropy.min(axis=1, keepdims=True) - entropy)
             scores.append(np.where(none, 0.0, 1 / share.sum(axis=1)))
-            mean, deviation = self._of.calibration[pick].T
-            excess = entropy.min(axis=1) - mean
-            rejected.append(none | (excess > np.maximum(self._of.slack, self._of.spread * deviation / np.sqrt(np.maximum(chars, 1)))))
+            mean, deviation, limit = self._of.calibration[pick].T
+            excess = mixed - mean
+            rejected.append(none | (excess > np.maximum(limit, self._of.spread * deviation / np.sqrt(np.maximum(chars, 1)))))
         trim()
         return names, np.concatenate(scores or [np.zeros(0)]), np.concatenate(rejected or [np.zeros(0, bool)])
 
@@ -247,16 +259,22 @@ def fit(docs: DataFrame, documents: int = 150, characters: int = 600_000, langua
     learn = {lang: [t for k, t in enumerate(texts) if k % 5 != 4] for lang, texts in by.items()}
     learn = {lang: texts for lang, texts in sorted(learn.items()) if any(map(str.isalpha, "".join(texts)))}
     names = list(learn)
-    identifier = Identifier(names, [train(learn[k]) for k in names], np.zeros((len(names), 2)), slack, spread)
+    calibration = np.zeros((len(names), 3))
+    identifier = Identifier(names, [train(learn[k]) for k in names], calibration, spread)
     if names:
         scorer = Scorer(identifier)
-        for k, lang in enumerate(names):
-            aside = [t for i, t in enumerate(by[lang]) if i % 5 == 4] or learn[lang]
-            entropy, chars = scorer.entropies(pa.array(aside, pa.large_string()))
-            own, chars = entropy[chars > 0, k], chars[chars > 0]
-            if len(own):
-                mean = float(np.average(own, weights=chars))
-                identifier.calibration[k] = mean, float(np.sqrt(np.mean((own - mean) ** 2 * chars)))
+        scored = [scorer.entropies(pa.array([t for i, t in enumerate(by[k]) if i % 5 == 4] or learn[k], pa.large_string())) for k in names]
+        scored = [(entropy[chars > 0], chars[chars > 0]) for entropy, chars, _ in scored]
+        means = {k: np.average(entropy[:, k], weights=chars) for k, (entropy, chars) in enumerate(scored) if len(chars)}
+        # Documents that mix languages are near to several; the farther ones of a language show its distance.
+        apart = [np.quantile(scored[j][0][:, k], 0.9) - means[k] for k in means for j in means if j != k]
+        calibration[:, 2] = slack
+        for k, mean in means.items():
+            entropy, chars = scored[k]
+            own = entropy[:, k] - mean
+            # The median, as a few documents that mix languages deviate far more.
+            deviation = 1.4826 * np.median(np.abs(own) * np.sqrt(chars))
+            calibration[k] = mean, deviation, min(slack, max(FOREIGN * np.median(apart), own.max())) if apart else slack
     return identifier
 
 

@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -170,6 +171,25 @@ def test_rejection(spark, docs):
     assert kept.columns == docs.columns and kept.count() == docs.count()
 
 
+def test_rejection_of_unlearned_latin_languages(spark):
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.1')}/documents.parquet")
+    identifier = language.fit(docs)
+    unlearned = [
+        "O menino saiu de casa cedo pela manhã e caminhou até a praia, onde os pescadores já puxavam as redes cheias de peixes prateados, enquanto as mulheres esperavam.",
+        "Gallia est omnis divisa in partes tres, quarum unam incolunt Belgae, aliam Aquitani, tertiam qui ipsorum lingua Celtae, nostra Galli appellantur. Hi omnes lingua differunt.",
+        "De jongen ging vroeg in de ochtend van huis en liep naar het strand, waar de vissers hun netten vol zilveren vissen al binnenhaalden, terwijl de vrouwen wachtten.",
+        "Il ragazzo uscì di casa presto la mattina e camminò fino alla spiaggia, dove i pescatori tiravano già le reti piene di pesci argentati, mentre le donne aspettavano.",
+    ]
+    _, _, rejected = language.Scorer(identifier).predict(pa.array(unlearned))
+    assert rejected.all()
+    assert language.keep_known(docs, identifier).count() == docs.count()
+    text = docs.where("lang = 'en'").orderBy("doc_id").first()["text"][:60]
+    keyed = pa.array([f'{text} token = "b64b244acde2e3b0aa8f051af1ec018ebaba3add"', "b64b244acde2e3b"])
+    names, scores, _ = language.Scorer(identifier).predict(keyed)
+    plain = language.Scorer(identifier).entropies(pa.array([f"{text} token"]))
+    assert np.allclose(language.Scorer(identifier).entropies(keyed[:1])[0], plain[0]) and names[1] != "und" and scores[1] > 0
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.text("abc é", min_size=1, max_size=12), min_size=1, max_size=8))
 def test_probabilities_of_seen_contexts_sum_to_one(texts):
