@@ -21,16 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from foliant.llm.tokens import ChunkTable, Encoded, loaded, spaced_cut
-
-#: Splits a text into pre-tokens as byte-level BPE vocabularies do (fixed value of the public vocabulary).
-PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
-def byte_alphabet() -> dict[str, int]:
-    """The printable stand-in of every byte in byte-level vocabularies."""
-    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
+from foliant.llm.tokens import ChunkTable, Encoded, byte_alphabet, loaded, spaced_cut, uncut_texts
 
 
 def vocabulary(path: str) -> list[bytes]:
@@ -99,14 +90,15 @@ class LongestMatch:
 def count_table(path: str) -> ChunkTable:
     """A table whose value for a chunk is its number of pieces."""
     import regex
+    from public_tokenizers import PATTERN
 
-    split, automaton = regex.compile(PRETOKEN).findall, LongestMatch(vocabulary(path))
+    split, automaton = regex.compile(PATTERN).findall, LongestMatch(vocabulary(path))
 
     def encode(chunks: list[str]) -> Encoded:
         counts = [sum(automaton.count(t.encode()) for t in split(c)) for c in chunks]
         return np.array(counts, np.uint32), np.ones(len(chunks), np.int64)
 
-    return ChunkTable(encode, encode, spaced_cut, True)
+    return ChunkTable(encode, encode, spaced_cut, True, uncut=uncut_texts(path))
 
 
 def count_tokens(docs: DataFrame, vocabulary_path: str) -> DataFrame:

@@ -1,14 +1,15 @@
 """Operator 3: token-id files with random access.
 
 Documents are range-partitioned by ``doc_id`` and sorted, so that a file holds
-a contiguous run of documents and the files follow each other in order.  The
-text is what moves; it is encoded after the shuffle, and each task writes
+a contiguous run of documents and the files follow each other in order; rows of
+one ``doc_id`` are told apart by a hash of their text and their place in the
+input, so that many of them spread over files too.  The text is what moves; it is encoded after the shuffle, and each task writes
 segments of directly addressable codes (``codes``) as rows of a Parquet table,
 which brings Spark's commit protocol and any Hadoop file system with it.
 Positions in the whole corpus are a prefix sum over one number per file.
 
-Edge cases: null text is empty text (the end id alone); repeated rows stay,
-in the order (doc_id, text); a null ``doc_id`` sorts first; an empty table
+Edge cases: null text is empty text (the end id alone); rows of one doc_id
+stay, in the order of a hash of their text; a null ``doc_id`` sorts first; an empty table
 gives an empty set of segments; other columns are not read.
 """
 
@@ -61,7 +62,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, s
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, _TYPES, strict=True)], names=_NAMES)
                 segment, start, first = segment + 1, start + n, last
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = ("doc_id", "of_text", "place")
+    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("of_text"), F.monotonically_increasing_id().alias("place")).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     ordered.mapInArrow(pack, SEGMENTS).write.option("compression", "uncompressed").parquet(path)
 
 

@@ -6,22 +6,31 @@ space and every chunk has the same ids wherever it stands.  A batch of texts
 is split and dictionary-encoded by Arrow, unseen chunks go to the library, and
 the ids are joined back by position with NumPy.  Texts with runs of white
 space, white space at an end, or one of the few characters on which notions of
-white space differ go to the library whole.
+white space differ go to the library whole, and so do texts that hold the string of
+an added token.  Whether a vocabulary allows such cuts is checked when it is
+loaded; with one that doesn't, every text goes to the library whole.
+
+Edge cases: null text is empty text, which has no ids; repeated texts and chunks are
+looked up once; a text longer than a slice is a slice of its own.
 """
 
 from __future__ import annotations
 
 import ctypes
+import json
 import os
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+#: Characters on which notions of white space differ, and marks of this module.
+_ODD = r"[\x00\x01\x0b\x1c-\x1f\x85\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}▁]"
 #: A text matching this is not cut.
-_UNCUT = r"\s\s|^\s|\s$|[\x00\x01\x0b\x1c-\x1f\x85\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}▁]"
+_UNCUT = r"\s\s|^\s|\s$|" + _ODD
 #: Bytes of text handled at a time.
 SLICE_BYTES = 4_000_000
 
@@ -43,11 +52,12 @@ class ChunkTable:
     ``encode`` maps a list of chunks to (all ids, lengths), ``each`` one of
     whole texts.  ``prepare`` may cut texts further, by spaces: with ``spaced``
     a word after U+0001 is a chunk as it stands and any other one has a space
-    before it; without, the library treats both alike.
+    before it; without, the library treats both alike.  Texts that match
+    ``uncut`` (RE2) are not cut.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Encoded], each: Callable[[list[str]], Encoded], prepare: Callable[[pa.Array], pa.Array], spaced: bool, limit: int = 450_000) -> None:
-        self._encode, self._each, self._prepare, self._spaced, self._limit = encode, each, prepare, spaced, limit
+    def __init__(self, encode: Callable[[list[str]], Encoded], each: Callable[[list[str]], Encoded], prepare: Callable[[pa.Array], pa.Array], spaced: bool, limit: int = 450_000, uncut: str = _UNCUT) -> None:
+        self._encode, self._each, self._prepare, self._spaced, self._limit, self._uncut = encode, each, prepare, spaced, limit, uncut
         self._place: dict[str, int] = {}
         self._ids = np.zeros(0, np.uint32)
         self._start = np.zeros(0, np.int64)
@@ -98,7 +108,7 @@ class ChunkTable:
         return out
 
     def _looked_up(self, texts: pa.Array) -> Encoded:
-        uncut = pc.match_substring_regex(texts, _UNCUT)
+        uncut = pc.match_substring_regex(texts, self._uncut)
         if pc.any(uncut).as_py():
             mask = uncut.to_numpy(zero_copy_only=False)
             whole_ids, whole_counts = self._each(texts.filter(uncut).to_pylist())
@@ -159,15 +169,54 @@ def plain_cut(texts: pa.Array) -> pa.Array:
     return pc.ascii_lower(pc.replace_substring(texts, "\n", " "))
 
 
+#: Matches every text.
+_EVERY = "(?s)^"
+# Pieces that a cut would tear: something before a space, something around a line feed, a letter before a comma or full stop.
+_TORN = re.compile("[^ ] |[^\n ]\n|\n[^\n ]|[a-z][.,]")
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The byte behind each printable stand-in in byte-level vocabularies."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
+
+
+def _crossing(pieces: Iterable[str]) -> bool:
+    """Whether one of these pieces, in the byte alphabet, can stand across a cut."""
+    back = byte_alphabet()
+    texts = [bytes(back[c] for c in p if c in back).decode(errors="replace") for p in pieces]
+    torn = [t for t in texts if _TORN.search(t)]
+    return bool(torn) and not pc.all(pc.match_substring_regex(pa.array(torn), _ODD)).as_py()
+
+
+def uncut_texts(path: str) -> str:
+    """The pattern of texts that may not be cut for the ``tokenizers`` file ``path``: all of them unless its pieces stay within cuts."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    added = [t["content"] for t in file.get("added_tokens", ())]
+    if any(t.get("normalized") or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in file.get("added_tokens", ())):
+        return _EVERY
+    steps = file.get("pre_tokenizer") or {}
+    steps = steps.get("pretokenizers") or [steps]
+    byte_level = file["model"]["type"] == "BPE" and steps[-1].get("type") == "ByteLevel" and not steps[-1].get("add_prefix_space")
+    end = file["model"].get("end_of_word_suffix") or ""
+    if not byte_level or _crossing(piece.removesuffix(end) for piece in file["model"]["vocab"] if piece not in added):
+        return _EVERY
+    # In any case, as chunks may be made lower case.
+    return "|".join([_UNCUT, *(f"(?i:\\Q{content}\\E)" for content in added)])
+
+
 def bpe_table(path: str) -> ChunkTable:
-    """A table over a ``tokenizers`` vocabulary; special-token strings in a text are ordinary text."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    """A table over a ``tokenizers`` vocabulary; strings of special tokens in a text get their ids, as the library has it.
+
+    The library works in this thread alone unless TOKENIZERS_PARALLELISM is set: a task has one core.
+    """
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    tokenizer.encode_special_tokens = True
     # Chunks that start with a space are encoded many at a time, with a mark between them that no chunk holds.
     mark = tokenizer.encode(" \x00", add_special_tokens=False).ids
     spaced = tokenizer.encode(" a", add_special_tokens=False).ids != tokenizer.encode("a", add_special_tokens=False).ids
@@ -202,19 +251,20 @@ def bpe_table(path: str) -> ChunkTable:
             out[owner if own is mask else ~owner] = ids
         return out, lengths
 
-    return ChunkTable(encode, each, spaced_cut if spaced else plain_cut, spaced)
+    return ChunkTable(encode, each, spaced_cut if spaced else plain_cut, spaced, uncut=uncut_texts(path))
 
 
 def piece_table(path: str) -> ChunkTable:
-    """A table over a SentencePiece model whose pieces cannot cross a white-space mark."""
+    """A table over a SentencePiece model; where some piece crosses a white-space mark, texts stay whole."""
     model = piece_model(path)
+    crossing = any("▁" in model.id_to_piece(i).lstrip("▁") for i in range(model.get_piece_size()))
 
     def encode(chunks: list[str]) -> Encoded:
         lists = model.encode(chunks, num_threads=1)
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
         return np.fromiter((i for x in lists for i in x), np.uint32, int(lengths.sum())), lengths
 
-    return ChunkTable(encode, encode, lambda texts: texts, False)
+    return ChunkTable(encode, encode, lambda texts: texts, False, uncut=_EVERY if crossing else _UNCUT)
 
 
 _LOADED: dict[tuple[str, str], object] = {}

@@ -12,6 +12,9 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from sentencepiece import SentencePieceProcessor
+from tokenizers import Tokenizer, models, pre_tokenizers
 
 from foliant.llm import codes, counts, packing, pieces, queries, store, token_output, tokens
 
@@ -20,6 +23,9 @@ TRICKY = [
     "a  b", "a   b", "a\t b \n\nc d's 'll  ", "", " ", "\n", "x'.y ,. foo.,bar", "it's, don't. ", "Ünï .çà", "a b c", "é́́x", "ΑΣ ς ΟΔΟΣ.", "<|endoftext|> a <|startoftext|>", "a\x1cb \x85c",
     "​ x", "1.2, 33", "日本語 テスト。 ", "İstanbul ſ", "a ̈b", "foo 're x", "</s> <s> <unk> x", "▁a ▁ b", None, "x\n y", "x \ny", "x\ny\nz", "a\x00 b", "a\x01 b.", "Ab. cD,\nEf",
 ]
+#: Library objects of their own, as a user would make them.
+LIBRARY = {p: Tokenizer.from_file(p) for p in (WORD, BYTE)}
+ADDED = ["<|endoftext|>", "a <|endoftext|> b, c.", "<|startoftext|><|endoftext|>", "x\n<|startoftext|>y", "<|ENDOFTEXT|> <|endoftext", "a.<|endoftext|>\nb"]
 TABLES = {WORD: tokens.bpe_table(WORD), BYTE: tokens.bpe_table(BYTE), PIECE: tokens.piece_table(PIECE)}
 
 
@@ -28,15 +34,39 @@ def split(table, texts):
     return [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
+def library_ids(path, text):
+    if path == PIECE:
+        return SentencePieceProcessor(model_file=PIECE).encode(text or "")
+    return LIBRARY[path].encode(text or "", add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("path", TABLES)
 def test_chunks_give_the_library_s_ids(path):
-    assert split(TABLES[path], TRICKY) == [TABLES[path]._each([t or ""])[0].tolist() for t in TRICKY]
+    assert split(TABLES[path], TRICKY + ADDED) == [library_ids(path, t) for t in TRICKY + ADDED]
+
+
+def test_added_tokens_keep_their_ids():
+    assert [split(TABLES[p], ["<|endoftext|>"]) for p in (WORD, BYTE)] == [[[49407]], [[50256]]]
+
+
+def test_vocabularies_that_cross_cuts_stay_whole(tmp_path):
+    vocabulary = {c: k for k, c in enumerate(["a", "b", "Ġ", "aĠ", "bĠ", "Ġa"])}
+    torn = Tokenizer(models.BPE(vocab=vocabulary, merges=[("a", "Ġ"), ("b", "Ġ"), ("Ġ", "a")]))
+    torn.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    path = str(tmp_path / "torn.json")
+    torn.save(path)
+    assert tokens.uncut_texts(path) == tokens._EVERY and tokens.uncut_texts(BYTE) != tokens._EVERY != tokens.uncut_texts(WORD)
+    texts = ["a b a", "ab ab", "", "b a b b"]
+    assert split(tokens.bpe_table(path), texts) == [torn.encode(t).ids for t in texts]
+    torn.pre_tokenizer = pre_tokenizers.Whitespace()
+    torn.save(path)
+    assert tokens.uncut_texts(path) == tokens._EVERY
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(st.sampled_from("ab, .'\nAéß\t 日1▁́"), max_size=30), max_size=4), st.sampled_from(list(TABLES)))
 def test_any_text(texts, path):
-    assert split(TABLES[path], texts) == [TABLES[path]._each([t])[0].tolist() for t in texts]
+    assert split(TABLES[path], texts) == [library_ids(path, t) for t in texts]
 
 
 def test_a_full_table_stays_right(monkeypatch):
@@ -69,7 +99,7 @@ def test_codes_refuse_other_bytes():
 
 
 def expected_ids(path, text, end):
-    return [*TABLES[path]._each([text or ""])[0].tolist(), end]
+    return [*LIBRARY[path].encode(text or "", add_special_tokens=False).ids, end]
 
 
 def crc(ids):
@@ -85,9 +115,10 @@ def test_token_files(spark, docs):
 
 
 def test_token_files_of_hard_rows(spark, hard, nothing):
+    hard = hard.unionByName(hard.where("doc_id = 9").withColumn("text", F.lit("<|endoftext|> and <|startoftext|>")))
     path = store.new_path(spark, "t")
     token_output.write_token_files(hard, path, WORD, 2, segment_tokens=10)
-    rows = sorted(((r.doc_id, r.text) for r in hard.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    rows = [(r.doc_id, r.text) for r in hard.orderBy("doc_id", F.xxhash64("text")).collect()]
     ids = [expected_ids(WORD, t, 2) for _, t in rows]
     flat = [i for x in ids for i in x]
     got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_output.read_documents(spark, path).collect())
@@ -141,7 +172,7 @@ def test_counts(request, which):
 
     def count(text):
         total = 0
-        for part in regex.findall(counts.PRETOKEN, text or ""):
+        for part in regex.findall(public_tokenizers.PATTERN, text or ""):
             if part not in known:
                 known[part] = greedy(part.encode(), vocabulary, longest)
             total += known[part]
@@ -173,7 +204,8 @@ def check_packing(df, rows, capacity):
 def test_packing(docs, hard, nothing):
     sequences, total = check_packing(docs, packing.pack(docs, BYTE, 0, 2048), 2048)
     assert sequences <= -(-total // 2048) + 2
-    check_packing(hard, packing.pack(hard, BYTE, 0, 64), 64)
+    added = hard.unionByName(hard.where("doc_id = 11").withColumns({"doc_id": F.lit(77).cast("long"), "text": F.lit("x <|endoftext|> y")}))
+    check_packing(added, packing.pack(added, BYTE, 0, 64), 64)
     assert packing.pack(nothing, BYTE, 0).count() == 0
 
 
