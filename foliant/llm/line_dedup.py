@@ -12,7 +12,8 @@ counts once for a page, however often it stands there.
 Edge cases: null text is empty text and stays null where nothing is dropped;
 null hosts form one host; every repeated row is a page; a page may lose all its
 lines and is then empty, not gone; an empty table gives no rows; other columns
-pass through ``drop_boilerplate`` unchanged.
+pass through ``drop_boilerplate`` unchanged, whatever their names, but for those
+that the two counts replace.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLANKS = " \t\r"
+#: A line on more than this share of a host's pages is boilerplate; one page alone says nothing.
+RATIO, MIN_PAGES = 0.08, 2
 
 
 def line_key(line: Column) -> Column:
@@ -42,20 +45,22 @@ def boilerplate(docs: DataFrame, ratio: float, min_pages: int, host: str = "sour
     return joined.where(F.col("share") > ratio)
 
 
-def drop_boilerplate(docs: DataFrame, ratio: float = 0.1, min_pages: int = 5, doc_id: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
-    """``docs`` with boilerplate lines taken out of ``text``, and the columns ``lines_total`` and ``lines_dropped``."""
-    known = boilerplate(docs, ratio, min_pages, host, text).select(F.col("host").alias("_host"), F.col("key").alias("_key"))
-    lines = docs.select(F.col(doc_id).alias("_id"), F.col(host).alias("_of"), F.explode(_keys(F.col(text))).alias("_line"))
-    hits = lines.join(known, lines._of.eqNullSafe(known._host) & (lines._line == known._key), "left_semi")
+def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, doc_id: str = "doc_id", host: str = "source", text: str = "text", counts: tuple[str, str] | None = ("lines_total", "lines_dropped")) -> DataFrame:
+    """``docs`` with boilerplate lines taken out of ``text``; two columns named ``counts`` (in place of any of these names) tell how many lines there were and went."""
+    known = boilerplate(docs, ratio, min_pages, host, text).select(F.col("host").alias("on"), F.col("key").alias("known"))
+    lines = docs.select(F.col(doc_id).alias("id"), F.col(host).alias("of"), F.explode(_keys(F.col(text))).alias("line"))
+    hits = lines.join(known, lines["of"].eqNullSafe(known["on"]) & (lines["line"] == known["known"]), "left_semi")
     # As many keys as the host has boilerplate lines at most.
-    drops = hits.groupBy("_id", "_of").agg(F.collect_set("_line").alias("_drop"))
-    joined = docs.join(drops, docs[doc_id].eqNullSafe(drops._id) & docs[host].eqNullSafe(drops._of), "left")
-    split = F.split(F.col(text), "\n", -1)
-    kept = F.filter(split, lambda line: ~F.coalesce(F.array_contains("_drop", line_key(line)), F.lit(False)))
-    clean = joined.withColumn("_kept", F.when(F.col("_drop").isNotNull(), kept))
-    total = F.coalesce(F.size(split), F.lit(0)).cast("long")
-    return clean.select(
-        *[F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(docs[c]).alias(c) if c == text else docs[c] for c in docs.columns if c not in ("lines_total", "lines_dropped")],
-        F.when(docs[text].isNull(), F.lit(0)).otherwise(total).cast("long").alias("lines_total"),
-        F.when(F.col("_kept").isNotNull(), F.size(split) - F.size("_kept")).otherwise(0).cast("long").alias("lines_dropped"),
-    )
+    drops = hits.groupBy("id", "of").agg(F.collect_set("line").alias("drop"))
+    # A row travels as one value, so that no name of its columns can clash with those made here.
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("row_id"), F.col(host).alias("row_of"))
+    joined = rows.join(drops, rows["row_id"].eqNullSafe(drops["id"]) & rows["row_of"].eqNullSafe(drops["of"]), "left").select("row", "drop")
+    body = F.col("row").getField(text)
+    split = F.split(body, "\n", -1)
+    kept = F.filter(split, lambda line: ~F.coalesce(F.array_contains("drop", line_key(line)), F.lit(False)))
+    clean = joined.select("row", F.when(F.col("drop").isNotNull(), kept).alias("kept"))
+    changed = F.col("kept").isNotNull()
+    columns = [F.when(changed, F.array_join("kept", "\n")).otherwise(body).alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in {n.lower() for n in counts or ()}]
+    if counts:
+        columns += [F.when(body.isNull(), 0).otherwise(F.size(split)).cast("long").alias(counts[0]), F.when(changed, F.size(split) - F.size("kept")).otherwise(0).cast("long").alias(counts[1])]
+    return clean.select(*columns)

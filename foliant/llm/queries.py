@@ -76,7 +76,7 @@ WITH d AS (SELECT doc_id, source, text, string_split(coalesce(text, ''), chr(10)
      l AS (SELECT doc_id, source, unnest(list_distinct(list_filter(list_transform(lines, lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> ''))) AS line FROM d),
      t AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
      b AS (SELECT l.source, line FROM l JOIN t ON l.source IS NOT DISTINCT FROM t.source
-           GROUP BY l.source, line, total HAVING count(*) >= 5 AND count(*) / total > 0.1),
+           GROUP BY l.source, line, total HAVING count(*) >= 2 AND count(*) / total > 0.08),
      h AS (SELECT l.doc_id, l.source, list(l.line) AS gone FROM l JOIN b ON l.source IS NOT DISTINCT FROM b.source AND l.line = b.line GROUP BY l.doc_id, l.source),
      k AS (SELECT d.doc_id, d.text, d.lines, list_filter(d.lines, lambda x: NOT list_contains(coalesce(h.gone, []), trim(x, ' ' || chr(9) || chr(13)))) AS kept
            FROM d LEFT JOIN h ON d.doc_id IS NOT DISTINCT FROM h.doc_id AND d.source IS NOT DISTINCT FROM h.source)
@@ -106,8 +106,8 @@ v AS (SELECT *, start + length(hit) AS stop, regexp_matches(val, '[0-9]') AND le
 base AS (SELECT * FROM v WHERE kind < 3 AND length(val) >= 8),
 extra AS (SELECT * FROM v WHERE kind = 3 AND varied AND regexp_matches(val, '[a-z]') AND regexp_matches(val, '[A-Z]')
           AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = v.doc_id AND b.start < v.stop AND v.start < b.stop)),
-al AS (SELECT * FROM base UNION ALL SELECT * FROM extra), o AS (SELECT val, count(DISTINCT coalesce(source, chr(0))) AS owners FROM al GROUP BY val),
-j AS (SELECT al.*, owners <= 2 AND varied AS live FROM al JOIN o ON al.val = o.val WHERE kind < 3 OR (owners <= 2 AND varied)),
+al AS (SELECT * FROM base UNION ALL SELECT * FROM extra), o AS (SELECT val, count(DISTINCT coalesce(source, chr(0))) <= 2 AND count(DISTINCT {{'d': doc_id, 's': source}}) <= 20 AS few FROM al GROUP BY val),
+j AS (SELECT al.*, few AND varied AS live FROM al JOIN o ON al.val = o.val WHERE kind < 3 OR (few AND varied)),
 g AS (SELECT doc_id, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS k, count(*) FILTER (kind = 2) AS h, count(*) FILTER (live) AS n_live,
         string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER (kind < 3) AS b, string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) AS spans FROM j GROUP BY doc_id)
 SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
