@@ -6,15 +6,17 @@ weights.  A document gets the language with the lowest cross-entropy per
 character; no n-gram spans two words, so a word's log-probability is the same
 everywhere and each task scores every distinct word once.
 
-Models are fitted on a bounded sample: of each of the ``languages`` most
-frequent labels at most ``documents`` documents, in the order of a hash of
-their ids, and of these as many as ``characters`` allow.  One in five of them is set aside to calibrate rejection:
-a document is rejected if it has no letter, or if its cross-entropy, with every word in the
-language that fits it best (so that documents that mix known languages stay), exceeds the mean
-of its language by more than ``spread`` deviations for its length and by more than the limit of
-the language.  The limit is three quarters of what lies between a language and the set-aside
-documents of another (the median of all pairs); not below any set-aside document of its own,
-and ``slack`` at most (and where there is one language only).
+Models are fitted on a bounded sample of every label: at most ``documents``
+documents with a text, in the order of a hash of their ids, and of these as many as
+``characters`` allow; with many labels each gets its share of ``total`` characters,
+and the sample is halved until the models have at most ``bytes`` bytes.  One in five
+documents is set aside to calibrate rejection.  A document is rejected if it has no letter, or
+if its cross-entropy, with every word in the language that fits it best (so that documents that
+mix known languages stay), exceeds the mean of its language by more than ``spread`` deviations
+for its length and by more than the limit of the language.  The limit is half the distance
+between known languages: of the words of a set-aside document that fit its language best, as the
+model that knows them least sees them (the median of the languages); but not less than any
+set-aside document of the language has.  ``slack`` is the limit where there is one language only.
 
 Edge cases: null, empty and letterless texts are ``und`` with score 0; ties go
 to the language that sorts first; without any labelled text everything is
@@ -42,7 +44,7 @@ _POWERS = np.array([pow(_BASE, k, 1 << 64) for k in range(ORDER + 1)], np.uint64
 #: Characters that no model has seen share one unit of probability.
 UNSEEN = 1000.0
 #: A text is rejected at this share of the distance between known languages.
-FOREIGN = 0.75
+FOREIGN = 0.5
 
 
 def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -167,6 +169,10 @@ class Identifier:
     calibration: np.ndarray
     spread: float
 
+    @property
+    def nbytes(self) -> int:
+        return sum(a.nbytes for m in self.models for arrays in (m.grams, m.logp, m.contexts, m.weights) for a in arrays)
+
 
 class Scorer:
     """Scores texts; a table of at most about ``limit`` distinct words stays in memory."""
@@ -188,28 +194,32 @@ class Scorer:
         self._logp = np.concatenate([self._logp, logp])
         self._size = np.concatenate([self._size, np.fromiter(map(len, words), np.int64, len(words)) + 1])
 
-    def entropies(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Cross-entropy per character for each language, the (weighted) characters of letter runs of each text (0: no letter), and its cross-entropy with every word in the language that fits it best.
-
-        A word weighs the root of its occurrences, so that a phrase repeated without end doesn't drown the rest.
-        """
+    def _runs(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For every run of letters: its text, its log-probability in each language and its characters."""
         if len(self._place) > self._limit:
             self._clear()
         distinct, at, bounds = words_of(texts)
         fresh = [w for w in distinct if w and w not in self._place]
         for k in range(0, len(fresh), 50_000):
             self._learn(fresh[k : k + 50_000])
-        rows = np.fromiter((self._place.get(w, -1) for w in distinct), np.int64, len(distinct))
-        logp = np.vstack([self._logp, np.zeros((1, self._logp.shape[1]))])[rows]
-        size = np.append(self._size, 0)[rows]
+        rows = np.fromiter((self._place.get(w, -1) for w in distinct), np.int64, len(distinct))[at]
         owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
-        pair, times = np.unique(owner * max(1, len(distinct)) + at, return_counts=True)
-        of, word = np.divmod(pair, max(1, len(distinct)))
-        weight = np.sqrt(times)
-        chars = np.bincount(of, weights=weight * size[word], minlength=len(texts))
-        sums = [np.bincount(of, weights=weight * logp[word, k], minlength=len(texts)) for k in range(logp.shape[1])]
-        mixed = -np.bincount(of, weights=weight * logp.max(axis=1)[word], minlength=len(texts)) / np.maximum(chars, 1)
-        return -np.stack(sums, axis=1) / np.maximum(chars, 1)[:, None], chars, mixed
+        owner, rows = owner[rows >= 0], rows[rows >= 0]
+        return owner, self._logp[rows], self._size[rows]
+
+    def entropies(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cross-entropy per character for each language, the characters of letter runs of each text (0: no letter), and its cross-entropy with every word in the language that fits it best."""
+        owner, logp, size = self._runs(texts)
+        total = lambda values: np.bincount(owner, weights=values, minlength=len(texts))
+        chars = total(size)
+        each = np.maximum(chars, 1)
+        return -np.stack([total(logp[:, k]) for k in range(logp.shape[1])], axis=1) / each[:, None], chars, -total(logp.max(axis=1)) / each
+
+    def as_seen(self, texts: pa.Array, language: int) -> np.ndarray:
+        """Cross-entropy in each language of the words of ``texts`` that fit ``language`` best; NaN if there are none."""
+        _, logp, size = self._runs(texts)
+        own = logp.argmax(axis=1) == language
+        return -logp[own].sum(axis=0) / size[own].sum() if own.any() else np.full(logp.shape[1], np.nan)
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language, score from 0 to 1, rejected) of each text; null counts as empty."""
@@ -228,8 +238,7 @@ class Scorer:
             share = np.exp(entropy.min(axis=1, keepdims=True) - entropy)
             scores.append(np.where(none, 0.0, 1 / share.sum(axis=1)))
             mean, deviation, limit = self._of.calibration[pick].T
-            excess = mixed - mean
-            rejected.append(none | (excess > np.maximum(limit, self._of.spread * deviation / np.sqrt(np.maximum(chars, 1)))))
+            rejected.append(none | (mixed - mean > np.maximum(limit, self._of.spread * deviation / np.sqrt(np.maximum(chars, 1)))))
         trim()
         return names, np.concatenate(scores or [np.zeros(0)]), np.concatenate(rejected or [np.zeros(0, bool)])
 
@@ -238,43 +247,61 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, documents: int = 150, characters: int = 600_000, languages: int = 200, slack: float = 3.0, spread: float = 12.0) -> Identifier:
-    """Models of the ``languages`` most frequent labels of ``docs`` (doc_id, text, lang), from rows that are not held out.
+def sample(docs: DataFrame, documents: int, characters: int, total: int) -> dict[str, list[str]]:
+    """Texts by label from rows of ``docs`` (doc_id, text, lang) that are not held out.
 
-    The sample of a language is bounded: ``documents`` documents and ``characters``
-    characters, documents of a quarter of these or more only where others leave room (one at least).
+    Of a label at most ``documents`` documents, and as many as its characters allow (its share of ``total``,
+    ``characters`` at most); documents of a quarter of these or more only where others leave room (one at least).
     """
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang")
-    known = [r["lang"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()]
+    size = F.length("text")
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    labels = labelled.select("lang").distinct().count()
+    allowed = min(characters, total // max(1, labels))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = [r["doc_id"] for r in labelled.where(F.col("lang").isin(known)).withColumn("r", F.row_number().over(order)).where(F.col("r") <= documents).collect()] if known else []
+    ranked = labelled.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(1, min(documents, allowed)))
+    chosen = ranked.select("doc_id", "lang").distinct()
+    texts = labelled.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"], "left_semi").distinct().select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", "text", (size * 4 >= allowed).alias("long"))
+    room = Window.partitionBy("lang").orderBy("long", "h", "doc_id", "text")
+    fitting = texts.withColumns({"r": F.row_number().over(room), "upto": F.sum(size).over(room.rowsBetween(Window.unboundedPreceding, 0))}).where((F.col("r") == 1) | (F.col("upto") <= allowed))
     by: dict[str, list[str]] = {}
-    if chosen:
-        size = F.length("text")
-        texts = docs.where(F.col("doc_id").isin(chosen) & F.col("lang").isin(known) & F.col("text").isNotNull()).select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", "text", (size * 4 >= characters).alias("long")).distinct()
-        room = Window.partitionBy("lang").orderBy("long", "h", "doc_id", "text")
-        fitting = texts.withColumns({"r": F.row_number().over(room), "upto": F.sum(size).over(room.rowsBetween(Window.unboundedPreceding, 0))}).where((F.col("r") == 1) | (F.col("upto") <= characters))
-        for row in sorted(fitting.select("lang", "r", "text").collect(), key=lambda r: (r["lang"], r["r"])):
-            by.setdefault(row["lang"], []).append(row["text"])
-    learn = {lang: [t for k, t in enumerate(texts) if k % 5 != 4] for lang, texts in by.items()}
-    learn = {lang: texts for lang, texts in sorted(learn.items()) if any(map(str.isalpha, "".join(texts)))}
+    for row in sorted(fitting.select("lang", "r", "text").collect(), key=lambda r: (r["lang"], r["r"])):  # at most `total` characters, or one document a label
+        by.setdefault(row["lang"], []).append(row["text"])
+    return by
+
+
+def learned(by: dict[str, list[str]], slack: float = 3.0, spread: float = 6.0) -> Identifier:
+    """Models of the labels in ``by`` and the calibration of rejection, from every fifth text of a label (from all where there are fewer)."""
+    learn = {lang: [t for k, t in enumerate(texts) if k % 5 != 4] for lang, texts in sorted(by.items())}
+    learn = {lang: texts for lang, texts in learn.items() if any(map(str.isalpha, "".join(texts)))}
     names = list(learn)
+    aside = {k: pa.array([t for i, t in enumerate(by[k]) if i % 5 == 4] or learn[k], pa.large_string()) for k in names}
     calibration = np.zeros((len(names), 3))
+    calibration[:, 2] = slack
     identifier = Identifier(names, [train(learn[k]) for k in names], calibration, spread)
-    if names:
-        scorer = Scorer(identifier)
-        scored = [scorer.entropies(pa.array([t for i, t in enumerate(by[k]) if i % 5 == 4] or learn[k], pa.large_string())) for k in names]
-        scored = [(entropy[chars > 0], chars[chars > 0]) for entropy, chars, _ in scored]
-        means = {k: np.average(entropy[:, k], weights=chars) for k, (entropy, chars) in enumerate(scored) if len(chars)}
-        # Documents that mix languages are near to several; the farther ones of a language show its distance.
-        apart = [np.quantile(scored[j][0][:, k], 0.9) - means[k] for k in means for j in means if j != k]
-        calibration[:, 2] = slack
-        for k, mean in means.items():
-            entropy, chars = scored[k]
-            own = entropy[:, k] - mean
+    if not names:
+        return identifier
+    scorer = Scorer(identifier)
+    scored = [scorer.entropies(aside[lang]) for lang in names]
+    means = np.array([np.average(mixed, weights=chars) if chars.any() else 0.0 for _, chars, mixed in scored])
+    # How far the words of a language are from the model that knows them least: models of mixed documents know their neighbours.
+    far = np.array([np.max(np.delete(scorer.as_seen(aside[lang], k) - means, k), initial=-np.inf) for k, lang in enumerate(names)])
+    far = far[np.isfinite(far)]
+    for k, (_, chars, mixed) in enumerate(scored):
+        excess, chars = (mixed - means[k])[chars > 0], chars[chars > 0]
+        if len(chars):
             # The median, as a few documents that mix languages deviate far more.
-            deviation = 1.4826 * np.median(np.abs(own) * np.sqrt(chars))
-            calibration[k] = mean, deviation, min(slack, max(FOREIGN * np.median(apart), own.max())) if apart else slack
+            deviation = 1.4826 * np.median(np.abs(excess) * np.sqrt(chars))
+            calibration[k] = means[k], deviation, max(FOREIGN * np.median(far), excess.max()) if len(far) else slack
+    return identifier
+
+
+def fit(docs: DataFrame, documents: int = 150, characters: int = 600_000, total: int = 6_000_000, most_bytes: int = 200 << 20, slack: float = 3.0, spread: float = 6.0) -> Identifier:
+    """Models of all labels of ``docs`` (doc_id, text, lang), from a bounded sample of rows that are not held out; together at most ``most_bytes`` large."""
+    by = sample(docs, documents, characters, total)
+    while (identifier := learned(by, slack, spread)).nbytes > most_bytes and any(len(texts) > 1 for texts in by.values()):
+        by = {lang: texts[: -(-len(texts) // 2)] for lang, texts in by.items()}
+    if identifier.nbytes > most_bytes:
+        raise ValueError(f"the models of {len(by)} labels take {identifier.nbytes} bytes; allow more or merge labels")
     return identifier
 
 
@@ -285,7 +312,7 @@ def _scorer(shared, name: str) -> Scorer:
 
 def identify(docs: DataFrame, identifier: Identifier) -> DataFrame:
     """doc_id, held_out, lang_pred, score and rejected of every row of ``docs`` (doc_id, text)."""
-    shared, name = docs.sparkSession.sparkContext.broadcast(identifier), uuid.uuid4().hex  # bounded by the sample
+    shared, name = docs.sparkSession.sparkContext.broadcast(identifier), uuid.uuid4().hex  # at most `most_bytes` large, see fit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared, name)

@@ -166,7 +166,7 @@ def test_languages(spark, docs, hard, nothing):
     held = [r for r in got if r.held_out]
     assert {r.doc_id for r in held} == {r.doc_id for r in got if zlib.crc32(str(r.doc_id).encode()) % 4 == 2}
     assert sum(r.lang == r.lang_pred for r in held) >= 0.95 * len(held) and all(0 <= r.score <= 1 for r in got)
-    assert sum(r.rejected for r in got) == 0
+    assert sum(r.rejected for r in got) <= len(got) // 1000
     rows = {r.doc_id: r for r in language.identify(hard, identifier).collect()}
     assert all((rows[k].lang_pred, rows[k].score, rows[k].rejected) == ("und", 0.0, True) for k in (2, 3, 4)) and rows[5].lang_pred == "en"
     assert language.identify(nothing, identifier).count() == 0 and language.fit(nothing).languages == []
@@ -181,26 +181,98 @@ def test_prediction_ignores_labels(docs):
     assert pick(docs) == pick(changed)
 
 
-def test_rejection(spark, docs):
-    identifier = language.fit(docs)
-    odd = spark.createDataFrame([(1, "Это русский текст, и он совсем другой. " * 5), (2, "12345 !!"), (3, None)], "doc_id LONG, text STRING")
-    assert [r.rejected for r in language.identify(odd, identifier).orderBy("doc_id").collect()] == [True, True, True]
-    kept = language.keep_known(docs.unionByName(odd.where("doc_id = 1"), allowMissingColumns=True), identifier)
-    assert kept.columns == docs.columns and kept.count() == docs.count()
+#: Languages that no table holds, and what is no language.
+FOREIGN = [
+    "O menino saiu de casa cedo pela manhã e caminhou até a praia, onde os pescadores já puxavam as redes cheias de peixes prateados, enquanto as mulheres esperavam.",
+    "Gallia est omnis divisa in partes tres, quarum unam incolunt Belgae, aliam Aquitani, tertiam qui ipsorum lingua Celtae, nostra Galli appellantur. Hi omnes lingua differunt.",
+    "De jongen ging vroeg in de ochtend van huis en liep naar het strand, waar de vissers hun netten vol zilveren vissen al binnenhaalden, terwijl de vrouwen wachtten.",
+    "Il ragazzo uscì di casa presto la mattina e camminò fino alla spiaggia, dove i pescatori tiravano già le reti piene di pesci argentati, mentre le donne aspettavano.",
+    "Poika lähti kotoa varhain aamulla ja käveli rannalle, missä kalastajat jo vetivät verkkojaan täynnä hopeisia kaloja, kun naiset odottivat.",
+    "Chłopiec wyszedł z domu wcześnie rano i poszedł na plażę, gdzie rybacy wyciągali już sieci pełne srebrnych ryb, podczas gdy kobiety czekały.",
+    "Это русский текст, и он совсем другой. " * 5,
+    "xkq zvwj qqpl wxvz kjhg fdsp qwrt zxcv mnbv lkjh pqwx zzxq vbnm kkjq wqzx " * 3,
+    "zq xw vk jx qz kv wx zj qx vz kq jw xz qv wk zx jq vx kz wq " * 20,
+    "12345 !!", "", None,
+]
 
 
-def test_rejection_of_unlearned_latin_languages(spark):
-    docs = spark.read.parquet(f"{SF.replace('0.001', '0.1')}/documents.parquet")
+@pytest.mark.parametrize("size", ["0.001", "0.01", "0.1"])
+def test_rejection(spark, size):
+    """Foreign text and junk go, clean documents stay: 1 in 1,000 at most is lost."""
+    docs = spark.read.parquet(f"{SF.replace('0.001', size)}/documents.parquet")
+    identifier = language.fit(docs)
+    odd = spark.createDataFrame([(-1 - k, t) for k, t in enumerate(FOREIGN)], "doc_id LONG, text STRING")
+    kept = language.keep_known(docs.unionByName(odd, allowMissingColumns=True), identifier)
+    assert kept.columns == docs.columns
+    ids = [r.doc_id for r in kept.select("doc_id").collect()]
+    assert not [i for i in ids if i < 0] and len(ids) >= 0.999 * docs.count()
+
+
+def naive_kneser_ney(texts):
+    """log P of a character after what stands before it in a word, from counts in dictionaries and the recursion alone."""
+    order = language.ORDER
+    words = [f" {w} " for t in texts for w in re.findall(r"[^\W\d_]+", t.lower())]
+    grams = [collections.Counter(w[i : i + n] for w in words for i in range(len(w) - n + 1)) for n in range(order + 1)]
+    begin = [collections.Counter(w[:n] for w in words if len(w) >= n) for n in range(order + 1)]
+    count = [{}] * (order + 1)
+    count[order] = dict(grams[order])
+    for n in range(1, order):
+        own = collections.Counter(g[1:] for g in grams[n + 1])
+        own.update({g: c for g, c in begin[n].items()})
+        count[n] = dict(own)
+    after, discount = [None], [0.0]
+    for n in range(1, order + 1):
+        # A space that opens a word is never predicted.
+        if n == 1:
+            count[1] = {g: c for g, c in collections.Counter(g[1:] for g in grams[2]).items()}
+        by = collections.defaultdict(list)
+        for g, c in count[n].items():
+            by[g[:-1]].append(c)
+        after.append(by)
+        ones, twos = (sum(c == k for c in count[n].values()) for k in (1, 2))
+        discount.append(ones / (ones + 2 * twos) if ones and twos else 0.75)
+
+    def p(n, gram):
+        if n == 0:
+            return 1 / language.UNSEEN
+        known = after[n].get(gram[:-1])
+        below = p(n - 1, gram[1:])
+        if not known:
+            return below
+        less = lambda c: min(discount[n], c)
+        own = count[n].get(gram, 0)
+        return ((own - less(own) if own else 0) + sum(map(less, known)) * below) / sum(known)
+
+    return lambda before, c: math.log(p(min(order, len(before) + 1), (before + c)[-order:]))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_models_equal_a_naive_one(seed):
+    rng = np.random.default_rng(seed)
+    word = lambda: "".join(rng.choice(list("aabcdé"), rng.integers(1, 9)))
+    texts = [" ".join(word() for _ in range(rng.integers(1, 60))) for _ in range(4)]
+    model, logp = language.train(texts), naive_kneser_ney(texts)
+    for w in [word() for _ in range(40)] + ["z", "az", "abz", "aaaaaaaaaaa"]:
+        _, place, hashes = language._grams([w])
+        padded = f" {w} "
+        expected = [logp(padded[max(0, k - language.ORDER + 1) : k], padded[k]) for k in range(1, len(padded))]
+        assert np.allclose(model.characters(place, hashes)[1:], expected, rtol=0, atol=1e-9), w
+
+
+def test_entropy_is_per_character():
+    texts = ["aa bb ab", "cd dc dd", "ab aa"]
+    identifier = language.learned({"x": texts[:1], "y": texts[1:2]})
+    entropy, chars, mixed = language.Scorer(identifier).entropies(pa.array([*texts, "ab ab ab ab cd", ""], pa.large_string()))
+    for k, own in enumerate((texts[:1], texts[1:2])):
+        logp = naive_kneser_ney(own)
+        for row, text in enumerate([*texts, "ab ab ab ab cd"]):
+            total = sum(logp(f" {w} "[:i], f" {w} "[i]) for w in text.split() for i in range(1, len(w) + 2))
+            assert math.isclose(entropy[row, k], -total / sum(len(w) + 1 for w in text.split()), abs_tol=1e-9)
+    assert chars.tolist() == [9, 9, 6, 15, 0] and (mixed[:4] <= entropy[:4].min(axis=1) + 1e-12).all()
+
+
+def test_keys_are_not_scored(spark, docs):
     identifier = language.fit(docs)
-    unlearned = [
-        "O menino saiu de casa cedo pela manhã e caminhou até a praia, onde os pescadores já puxavam as redes cheias de peixes prateados, enquanto as mulheres esperavam.",
-        "Gallia est omnis divisa in partes tres, quarum unam incolunt Belgae, aliam Aquitani, tertiam qui ipsorum lingua Celtae, nostra Galli appellantur. Hi omnes lingua differunt.",
-        "De jongen ging vroeg in de ochtend van huis en liep naar het strand, waar de vissers hun netten vol zilveren vissen al binnenhaalden, terwijl de vrouwen wachtten.",
-        "Il ragazzo uscì di casa presto la mattina e camminò fino alla spiaggia, dove i pescatori tiravano già le reti piene di pesci argentati, mentre le donne aspettavano.",
-    ]
-    _, _, rejected = language.Scorer(identifier).predict(pa.array(unlearned))
-    assert rejected.all()
-    assert language.keep_known(docs, identifier).count() == docs.count()
     text = docs.where("lang = 'en'").orderBy("doc_id").first()["text"][:60]
     keyed = pa.array([f'{text} token = "b64b244acde2e3b0aa8f051af1ec018ebaba3add"', "b64b244acde2e3b"])
     names, scores, _ = language.Scorer(identifier).predict(keyed)
@@ -237,11 +309,11 @@ def test_pipeline(spark):
         docs = out
     assert len(p.STAGES) == 5
     known, lines, single, hidden = kept
-    assert set(known) == {r.doc_id for r in source.collect()} and set(lines) == set(known) and set(single) < set(lines) and set(hidden) == set(single)
+    assert len(known) >= 0.99 * source.count() and set(lines) == set(known) and set(single) < set(lines) and set(hidden) == set(single)
     from tests.llm.test_dedup import naive_components, naive_lines
 
-    rows = [(r.doc_id, r.text, r.source) for r in source.collect()]
-    assert lines == {d: t for d, t, _, _ in naive_lines(rows, 0.1, 5)}
+    rows = [(r.doc_id, r.text, r.source) for r in source.collect() if r.doc_id in known]
+    assert lines == {d: t for d, t, _, _ in naive_lines(rows, 0.08, 2)}
     assert set(single) == {d for d, _, _, keep in naive_components(list(lines.items()), 80) if keep}
     assert all(not naive_spans(t) for t in hidden.values()) and sum(hidden[d] != single[d] for d in hidden) == sum(bool(naive_spans(t)) for t in single.values())
     assert {r.doc_id for r in docs.collect()} == set(hidden)
@@ -250,8 +322,15 @@ def test_pipeline(spark):
 
 
 def test_the_sample_is_bounded(spark):
-    rows = [(k, f"{'the cat sat on a mat ' * (1 if k % 7 else 9000)}{k}", f"l{k % 5}") for k in range(200)]
+    rows = [(k, f"{'the cat sat on a mat ' * (1 if k % 7 else 9000)}{k}", f"l{k % 5}") for k in range(200)] + [(k, None, "l9" if k % 2 else "l0") for k in range(1000, 1500)] + [(2000, "only one", "l9")]
     df = spark.createDataFrame(rows, "doc_id LONG, text STRING, lang STRING")
-    learnable = collections.Counter(lang for k, _, lang in rows if zlib.crc32(str(k).encode()) % 4 != 2)
-    assert language.fit(df, languages=2).languages == sorted(sorted(learnable, key=lambda x: (-learnable[x], x))[:2])
-    assert language.fit(df, documents=1, characters=1).languages == ["l0", "l1", "l2", "l3", "l4"]
+    labels = ["l0", "l1", "l2", "l3", "l4", "l9"]
+    assert language.fit(df).languages == labels  # null texts take no place in the sample
+    for documents, characters, total in ((150, 600_000, 6_000_000), (3, 10_000, 6_000_000), (150, 600_000, 600), (1, 1, 1)):
+        by = language.sample(df, documents, characters, total)
+        allowed = min(characters, total // 6)
+        assert sorted(by) == labels and all(len(t) <= max(1, documents) and (len(t) == 1 or sum(map(len, t)) <= allowed) for t in by.values())
+    small = language.fit(df, most_bytes=language.fit(df, documents=2).nbytes)
+    assert small.languages == labels and small.nbytes <= language.fit(df, documents=2).nbytes
+    with pytest.raises(ValueError):
+        language.fit(df, most_bytes=100)
