@@ -6,14 +6,19 @@ table keys of ``2 * ROWS`` rows: 2 m ROWS minhashes do the work of
 2 m² ROWS.  Documents with equal sets are one class from the start, so copies
 cost nothing further, and only ids and keys are shuffled.
 
-Buckets are worked in two passes, neither of which expands a bucket into
-pairs of documents already known to belong together:
+A class is named by a number of one of its rows, so that rows of one doc_id with
+different texts stay apart.  Buckets are worked in two passes, neither of which
+expands a bucket into pairs of documents already known to belong together:
 
 1. every member is compared with the bucket's smallest member (linear);
    verified links give first components;
-2. buckets whose members lie in several components are compared across
-   components, in blocks of ``BLOCK`` members, so a hot bucket is spread over
-   many tasks of bounded size.
+2. members outside the component of that smallest member are compared with all
+   members of other components, in cells of two blocks of about ``BLOCK`` members.
+
+Buckets are never gathered: their smallest members, sizes and blocks come from
+aggregates that are combined before they move, and a block is a hash of its
+members, so a hot bucket is spread over many tasks of bounded size.  A bucket of S
+members of which R are outside sends R * S / BLOCK rows.
 
 A comparison first uses odd sketches: a bit for every residue says whether an
 odd number of shingles fall on it, and the number of bits in which two sketches
@@ -22,9 +27,12 @@ does not rule out is verified on the full sets.
 
 Edge cases: null and empty texts, or texts without words, have no shingles and
 are linked with nothing; with fewer than five words the whole sequence is one
-shingle; rows with equal doc_id count as one document; a null doc_id is linked
-with nothing and kept; an empty table gives no rows; other columns are not
-read by ``near_dedup`` and pass through ``keep_one``.
+shingle; a component is named by its smallest doc_id, also where rows of one
+doc_id have different texts; a null doc_id is linked with nothing and kept;
+``keep_one`` leaves one row of a group, whichever it is of equal ones; an empty
+table gives no rows; other columns are not read by ``near_dedup`` and pass
+through ``keep_one``.  Thresholds up to 50 percent are refused, as sketches of
+sets of very different sizes aren't compared.
 """
 
 from __future__ import annotations
@@ -35,14 +43,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.components import components
 from foliant.llm.store import written
 from foliant.llm.tokens import trim
 
-WORDS, ROWS, BLOCK = 5, 3, 512
+WORDS, ROWS, BLOCK = 5, 3, 1024
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _M = (1 << 64) - 1
 _STEPS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(WORDS)], np.uint64)
@@ -104,38 +113,59 @@ def fold(sketch: np.ndarray, words: int) -> np.ndarray:
     return sketch
 
 
+def _name(h: np.ndarray) -> bytes:
+    """128 bits that name a set."""
+    return xxhash.xxh3_128_digest(h.tobytes())
+
+
+def _halves_of(names: list[bytes]) -> tuple[pa.Array, pa.Array]:
+    both = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
+    return pa.array(both[:, 0]), pa.array(both[:, 1])
+
+
+def text_name(text: Column) -> tuple[Column, Column]:
+    """128 bits that name a text; null counts as empty."""
+    body = F.coalesce(text, F.lit(""))
+    return F.xxhash64(body), F.xxhash64(F.lit(7), body)
+
+
 def signatures(docs: DataFrame, percent: int) -> DataFrame:
-    """doc_id, n_shingles, the 128-bit name of the set (k0, k1), half-keys and odd sketch of ``docs`` (doc_id, text)."""
+    """A row number, doc_id, the name of the text (t0, t1), n_shingles, the name of the set (k0, k1), half-keys and odd sketch of ``docs`` (doc_id, text)."""
     count = half_count(percent)
+    passed = ["doc_id", "t0", "t1"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = permutations(count)
+        number = TaskContext.get().partitionId() << 36
         for batch in batches:
             size, names, halves, sketches = [], [], [], []
             for text in batch.column("text"):
                 h = shingles(text.as_py())
                 size.append(len(h))
-                names.append(xxhash.xxh3_128_digest(h.tobytes()))
+                names.append(_name(h))
                 halves.append(half_keys(h, a, b) if len(h) else None)
                 sketches.append(odd_sketch(h) if len(h) else None)
-            name = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
+            rows = pa.array(np.arange(number, number + len(size)))
+            number += len(size)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(name[:, 0]), pa.array(name[:, 1]), pa.array(halves, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                names=["doc_id", "n_shingles", "k0", "k1", "halves", "sketch"],
+                [rows, *map(batch.column, passed), pa.array(size, pa.int64()), *_halves_of(names), pa.array(halves, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                names=["row", *passed, "n_shingles", "k0", "k1", "halves", "sketch"],
             )
             trim()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, k0 long, k1 long, halves array<bigint>, sketch binary")
+    t0, t1 = text_name(F.col("text"))
+    schema = "row long, doc_id long, t0 long, t1 long, n_shingles long, k0 long, k1 long, halves array<bigint>, sketch binary"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", t0.alias("t0"), t1.alias("t1")).mapInArrow(run, schema)
 
 
 def buckets(representatives: DataFrame, percent: int) -> DataFrame:
-    """key, id, n, and pivot (the smallest member) of the members of all buckets with two members or more."""
+    """key, id and pivot (the smallest member) of the members of all buckets with two members or more."""
     count = half_count(percent)
     keys = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda j: F.xxhash64(i, j, F.get("halves", i), F.get("halves", j + count)))))
     rows = representatives.select("id", F.explode(keys).alias("key"))
-    order = Window.partitionBy("key").orderBy("id")
-    near = rows.select("key", "id", F.lag("id").over(order).alias("before"), F.lead("id").over(order).alias("after"), F.first("id").over(order).alias("pivot"))
-    return near.where("before IS NOT NULL OR after IS NOT NULL").select("key", "id", "pivot")
+    # A written table, so that a hot key's rows can be split over tasks in the join.
+    pivots = written(rows.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("most")).where("pivot < most").select("key", "pivot"), "pivots")
+    return rows.join(pivots, "key").select("key", "id", "pivot")
 
 
 def _possible(n1: np.ndarray, n2: np.ndarray, apart: np.ndarray, percent: int) -> np.ndarray:
@@ -168,37 +198,46 @@ def possible_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataF
     return pairs.join(first, "a").join(second, "b").mapInArrow(run, "a long, b long")
 
 
+def _cell_pairs(ids: np.ndarray, n: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray, sketches: list[bytes], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a ``left`` and a ``right`` row of other components that the sketches do not rule out."""
+    width, same = np.array([len(s) // 8 for s in sketches]), np.array_equal(left, right)
+    for w in np.unique(width[left]):
+        own = np.flatnonzero(left & (width == w))
+        for x in (w // 2, w, 2 * w):  # sets whose sizes are further apart can't reach a threshold above 50 %
+            other = np.flatnonzero(right & (width == x))
+            if not len(other):
+                continue
+            least = min(w, x)
+            own_words, other_words = (fold(_words([sketches[i] for i in at], v), least) for at, v in ((own, w), (other, x)))
+            for k, i in enumerate(own):
+                ok = comp[other] != comp[i]
+                if same:
+                    ok &= ids[other] > ids[i]
+                take = np.flatnonzero(ok)
+                apart = np.bitwise_count(other_words[take] ^ own_words[k]).sum(axis=1)
+                found = other[take[_possible(n[other[take]], n[i], apart, percent)]]
+                if len(found):
+                    yield np.minimum(ids[found], ids[i]), np.maximum(ids[found], ids[i])
+
+
 def cross_pairs(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of members of one bucket, but of two components, that the sketches do not rule out.
 
-    ``members`` has key, id and component.  A cell holds two blocks of one bucket at most.
+    ``members`` has key, id, component, and ``inside``: whether that is the component of the bucket's pivot.  A
+    cell is a block of outside members (``low``) with another or the same one, or with a block of inside ones
+    (``high`` from -1 downwards).
     """
 
-    def cell_pairs(rows: list[dict]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        ids, n, comp, block = (np.array([r[c] for r in rows], np.int64) for c in ("id", "n_shingles", "component", "block"))
-        low, high = rows[0]["low"], rows[0]["high"]
-        width = np.array([len(r["sketch"]) // 8 for r in rows])
-        for w in np.unique(width):
-            left = np.flatnonzero(width == w)
-            right = np.flatnonzero((width == w) | (width == 2 * w))
-            right_words = np.concatenate([fold(_words([rows[i]["sketch"] for i in right if width[i] == x], x), w) for x in (w, 2 * w) if (width == x).any()])
-            right = np.concatenate([np.flatnonzero(width == x) for x in (w, 2 * w)])
-            left_words = _words([rows[i]["sketch"] for i in left], w)
-            for k, i in enumerate(left):
-                ok = (comp[right] != comp[i]) & ((width[right] > w) | (ids[right] > ids[i]))
-                if low != high:
-                    ok &= block[right] != block[i]
-                take = np.flatnonzero(ok)
-                apart = np.bitwise_count(right_words[take] ^ left_words[k]).sum(axis=1)
-                found = right[take[_possible(n[right[take]], n[i], apart, percent)]]
-                if len(found):
-                    yield np.minimum(ids[found], ids[i]), np.maximum(ids[found], ids[i])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, rows = None, []
 
         def emitted() -> Iterator[pa.RecordBatch]:
-            if len(rows) > 1 and (found := list(cell_pairs(rows))):
+            if len(rows) < 2:
+                return
+            ids, n, comp, block = (np.array([r[c] for r in rows], np.int64) for c in ("id", "n_shingles", "component", "block"))
+            low, high = rows[0]["low"], rows[0]["high"]
+            found = list(_cell_pairs(ids, n, comp, block == low, block == high, [r["sketch"] for r in rows], percent))
+            if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["a", "b"])
 
         for batch in batches:
@@ -210,13 +249,19 @@ def cross_pairs(members: DataFrame, sketches: DataFrame, percent: int) -> DataFr
                 rows.append(row)
         yield from emitted()
 
-    whole = Window.partitionBy("key")
-    mixed = members.select("key", "id", "component", F.min("component").over(whole).alias("least"), F.max("component").over(whole).alias("most"), F.count("*").over(whole).alias("size"), (F.row_number().over(whole.orderBy("component", "id")) - 1).alias("at")).where("least <> most")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = (F.col("at") / BLOCK).cast("int")
-    placed = mixed.select("key", "id", "component", own.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    cells = placed.select("key", "id", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    joined = cells.join(sketches.select("id", "n_shingles", "sketch"), "id").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    outside = ~F.col("inside")
+    sizes = members.groupBy("key").agg(F.count_if(outside).alias("out"), F.count_if("inside").alias("in")).where("out > 0")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    # A written table, so that a hot key's rows can be split over tasks in the join.
+    mixed = members.join(written(sizes.select("key", blocks("out").alias("out"), blocks("in").alias("in")), "mixed"), "key")
+    block = F.pmod(F.xxhash64("id"), F.when(outside, F.col("out")).otherwise(F.col("in"))).cast("int")
+    placed = mixed.withColumn("block", F.when(outside, block).otherwise(-1 - block))
+    all_out, all_in = F.sequence(F.lit(0), F.col("out") - 1), F.when(F.col("in") > 0, F.sequence(F.lit(-1), -F.col("in"), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    pair = lambda low, high: F.struct(low.alias("low"), high.alias("high"))
+    own = F.col("block")
+    cells = F.when(outside, F.concat(F.transform(all_out, lambda x: pair(F.least(own, x), F.greatest(own, x))), F.transform(all_in, lambda x: pair(own, x)))).otherwise(F.transform(all_out, lambda x: pair(x, own)))
+    spread = placed.select("key", "id", "component", "block", F.explode(cells).alias("cell")).select("key", "id", "component", "block", "cell.low", "cell.high")
+    joined = spread.join(sketches.select("id", "n_shingles", "sketch"), "id").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
     return joined.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -239,44 +284,71 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").mapInArrow(run, "u long, v long")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and elements (sorted 64-bit names) of the documents in ``ids``."""
+def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id and elements (sorted 64-bit names) of the sets in ``wanted`` (id, k0, k1, doc: a document that has it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([shingles(t.as_py()).tobytes() for t in part.column("text")], pa.binary())], names=["id", "elements"])
+                sets = [shingles(t.as_py()) for t in batch.column("text").slice(start, 256)]
+                yield pa.RecordBatch.from_arrays([*_halves_of([_name(h) for h in sets]), pa.array([h.tobytes() for h in sets], pa.binary())], names=["k0", "k1", "elements"])
 
-    wanted = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
-    return wanted.mapInArrow(run, "id long, elements binary").dropDuplicates(["id"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(wanted.select("doc").distinct(), "doc", "left_semi")
+    sets = texts.select("text").mapInArrow(run, "k0 long, k1 long, elements binary").dropDuplicates(["k0", "k1"])
+    return sets.join(wanted.select("k0", "k1", "id"), ["k0", "k1"]).select("id", "elements")
 
 
-def near_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of ``docs`` (doc_id, text); links are Jaccard similarities of ``percent`` or more."""
+def grouped(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, t0, t1, n_shingles, ``group`` (a name of the row's component; null: linked with nothing) and component_id of every row of ``docs`` (doc_id, text)."""
+    if not 50 < percent <= 100:
+        raise ValueError("the threshold must be above 50 percent, and 100 at most")
     table = written(signatures(docs, percent), "signatures")
-    classes = table.where("n_shingles > 0").groupBy("k0", "k1").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")).where("id IS NOT NULL")
-    members_of = table.join(classes.select("k0", "k1", F.col("id").alias("doc_id")), ["k0", "k1", "doc_id"])
-    sketches = written(members_of.select(F.col("doc_id").alias("id"), "n_shingles", "sketch", "halves").dropDuplicates(["id"]), "classes")
+    classes = written(table.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k0", "k1").agg(F.min("row").alias("id"), F.min("doc_id").alias("doc"), F.count("*").alias("copies")), "classes")
+    sketches = written(table.select(F.col("row").alias("id"), "n_shingles", "sketch", "halves").join(classes.select("id"), "id"), "sketches")
     members = written(buckets(sketches, percent), "buckets")
-    sets = written(full_sets(docs, members.select("id").distinct()), "sets")
+    wanted = classes.join(members.select("id").distinct(), "id", "left_semi")
+    sets = written(full_sets(docs, wanted), "sets")
 
     pairs = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     links = written(verified(possible_pairs(pairs, sketches, percent), sets, percent), "links")
     first = components(links)
-    known = members.select("key", "id").join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    of_pivot = first.select(F.col("id").alias("pivot"), F.col("component").alias("pivots"))
+    known = members.join(first, "id", "left").join(of_pivot, "pivot", "left").select("key", "id", F.coalesce("component", "id").alias("component"), F.coalesce("pivots", "pivot").alias("pivots"))
+    known = written(known.select("key", "id", "component", (F.col("component") == F.col("pivots")).alias("inside")), "known")
     # Links inside the first components say nothing new, so stars stand for them.
     more = verified(cross_pairs(known, sketches, percent), sets, percent)
     final = components(first.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more))
 
+    labelled = written(classes.join(final, "id", "left").select("k0", "k1", "doc", F.coalesce("component", "id").alias("group"), ((F.col("copies") > 1) | F.col("component").isNotNull()).alias("several")), "labelled")
+    # A component's own smallest class has no row in ``final``.
+    ends = written(final.select(F.col("component").alias("group")).distinct(), "ends")
+    least = labelled.join(ends, "group", "left_semi").groupBy("group").agg(F.min("doc").alias("component_id"))
     # A table of the classes that say anything; so written, a hot class's rows can be split over tasks in the join.
-    named = classes.join(final, "id", "left").where("copies > 1 OR component IS NOT NULL").select("k0", "k1", F.coalesce("component", "id").alias("component_id"))
-    result = table.join(written(named, "named"), ["k0", "k1"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    result = result.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
-    return result.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    named = labelled.join(least, "group", "left").where("several OR component_id IS NOT NULL").select("k0", "k1", "group", F.coalesce("component_id", "doc").alias("component_id"))
+    rows = table.select("row", "doc_id", "t0", "t1", "n_shingles", "k0", "k1").join(written(named, "named"), ["k0", "k1"], "left")
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    return rows.select("doc_id", "t0", "t1", "n_shingles", F.when(linked, F.coalesce("group", "row")).alias("group"), F.when(linked, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def near_dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of ``docs`` (doc_id, text); links are Jaccard similarities of ``percent`` or more."""
+    return grouped(docs, percent).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group: that with the smallest doc_id."""
-    dropped = near_dedup(docs, percent).where("NOT kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one row of each group: one with the smallest doc_id, of several texts that with the smallest name."""
+    rows = written(grouped(docs, percent), "grouped")
+    text = F.struct("doc_id", "t0", "t1")
+    several = rows.where("group IS NOT NULL").groupBy("group").agg(F.min(text).alias("best"), F.max(text).alias("last"), F.count("*").alias("n")).where("n > 1")
+    several = written(several.select("group", "best", (F.col("best") < F.col("last")).alias("differ")), "several")
+    dropped = rows.join(several.where("differ"), "group").where(text != F.col("best")).select("doc_id", "t0", "t1").distinct()
+    empty = rows.where("group IS NULL AND doc_id IS NOT NULL").groupBy("doc_id", "t0", "t1").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "t0", "t1")
+    repeated = rows.join(several, (rows["group"] == several["group"]) & (text == F.col("best"))).groupBy("doc_id", "t0", "t1").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "t0", "t1").unionByName(empty)
+    # A row travels as one value, so that no name of its columns can clash with those made here.
+    t0, t1 = text_name(F.col("text"))
+    whole = docs.select(F.struct("*").alias("whole"), F.col("doc_id").cast("long").alias("doc_id"), t0.alias("t0"), t1.alias("t1")).join(written(dropped, "dropped"), ["doc_id", "t0", "t1"], "left_anti")
+    repeated = written(repeated, "repeated")
+    if not repeated.isEmpty():
+        once = whole.join(repeated, ["doc_id", "t0", "t1"], "left_anti")
+        whole = once.unionByName(whole.join(repeated, ["doc_id", "t0", "t1"], "left_semi").dropDuplicates(["doc_id", "t0", "t1"]))
+    return whole.select(*[F.col("whole").getField(c).alias(c) for c in docs.columns])

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from foliant.llm import components, exact_dedup, line_dedup, near_dedup
 
@@ -151,7 +152,80 @@ def test_keep_one(spark, hard):
     kept = near_dedup.keep_one(hard)
     assert kept.columns == hard.columns
     ids = sorted(r.doc_id or -1 for r in kept.collect())
-    assert ids == [-1, -1, 1, 2, 3, 4, 5, 9, 9, 10, 11, 12]
+    assert ids == [-1, -1, 1, 2, 3, 4, 5, 9, 10, 11, 12]
+    assert kept.schema == hard.schema
+
+
+TALE = " ".join(f"word{k}" for k in range(60))
+
+
+def test_texts_of_one_id_stay_apart(spark):
+    """Rows of one doc_id with different texts are no copies of each other, and each is judged by its own text."""
+    other = " ".join(f"other{k}" for k in range(60))
+    rows = [(7, other), (7, TALE), (3, TALE + " end"), (9, TALE), (2, "alone " + other[:20]), (2, "start " + TALE), (2, TALE + " more"), (2, TALE + " more"), (None, TALE), (None, TALE), (8, ""), (8, "")]
+    df = spark.createDataFrame([(d, t, k) for k, (d, t) in enumerate(rows)], "doc_id LONG, text STRING, t0 INT").repartition(3)
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_dedup(df).collect() if r.doc_id)
+    assert got == sorted([(7, 7, True), (7, 2, False), (3, 2, False), (9, 2, False), (2, 2, True), (2, 2, True), (2, 2, True), (2, 2, True), (8, 8, True), (8, 8, True)])
+    kept = near_dedup.keep_one(df)
+    left = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    assert kept.columns == df.columns and len(left) == 6 and left.count((None, TALE)) == 2 and left.count((8, "")) == 1
+    assert {(7, other), (2, "alone " + other[:20])} < set(left) and sum(d == 2 for d, _ in left) == 2
+
+
+def test_thresholds_that_sketches_cannot_serve(docs):
+    for percent in (50, 40, 101):
+        with pytest.raises(ValueError):
+            near_dedup.near_dedup(docs, percent)
+
+
+def bucket_of(spark, rows):
+    """members and sketches of buckets from (key, id, component, inside, elements)."""
+    members = spark.createDataFrame([r[:4] for r in rows], "key LONG, id LONG, component LONG, inside BOOLEAN")
+    sets = {r[1]: np.array(sorted(r[4]), np.uint64) for r in rows}
+    sketches = spark.createDataFrame([(i, len(s), near_dedup.odd_sketch(s)) for i, s in sets.items()], "id LONG, n_shingles LONG, sketch BINARY")
+    return members, sketches, sets
+
+
+@pytest.mark.parametrize("block", [2, 7, 1024])
+def test_cells_hold_every_pair_of_two_components(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng, rows = np.random.default_rng(3), []
+    for key in range(6):
+        base = rng.integers(0, 1 << 63, int(rng.integers(20, 140)))
+        for k in range(int(rng.integers(2, 30))):
+            own = base[rng.random(len(base)) > rng.choice([0, 0.02, 0.3])]
+            component = int(rng.integers(0, 5)) if key else 0
+            rows.append((key, 100 * key + k, 1000 * key + component, component == 0, own.tolist()))
+    members, sketches, sets = bucket_of(spark, rows)
+    got = {(r.a, r.b) for r in near_dedup.cross_pairs(members, sketches, 80).collect()}
+    for key, a, c, _, _ in rows:
+        for key2, b, c2, _, _ in rows:
+            if key == key2 and a < b:
+                both = len(np.intersect1d(sets[a], sets[b]))
+                if c == c2:
+                    assert (a, b) not in got
+                elif 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                    assert (a, b) in got
+
+
+def test_a_hot_bucket_is_dealt_out(spark):
+    """A bucket of 100,000 members: no cell has more than its two blocks, and rows are few."""
+    n, seen = 100_000, []
+    members = spark.range(n, numPartitions=8).selectExpr("7L AS key", "id", "if(id % 2000 = 0, id, 1L) AS component", "id % 2000 <> 0 AS inside")
+    sketch = bytearray(near_dedup.odd_sketch(np.arange(40, dtype=np.uint64) * np.uint64(977)))
+    sketches = spark.range(n, numPartitions=8).select("id", F.lit(40).cast("long").alias("n_shingles"), F.lit(bytes(sketch)).alias("sketch"))
+    whole = type(members).mapInArrow
+
+    def counted(self, run, schema):
+        rows = self.groupBy("key", "low", "high").count()
+        seen.extend(r["count"] for r in rows.collect())
+        return whole(self, run, schema)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(members), "mapInArrow", counted)
+        pairs = near_dedup.cross_pairs(members, sketches, 80)
+    assert max(seen) < 2.5 * near_dedup.BLOCK and sum(seen) < n + 50 * 120
+    assert pairs.count() == 50 * (n - 50) + 50 * 49 // 2
 
 
 @settings(max_examples=80, deadline=None)
