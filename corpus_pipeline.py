@@ -17,7 +17,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines leave the texts (operator 1); no document goes."""
-    return line_dedup.drop_boilerplate(docs).select(*docs.columns)
+    return line_dedup.drop_boilerplate(docs, counts=None)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
