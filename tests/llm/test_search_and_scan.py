@@ -44,8 +44,10 @@ def top(df, k=5):
     return sorted(map(tuple, topk.top_k(df, df.where("vec_id % 50 = 0"), k).collect()))
 
 
-def test_top_k(spark, monkeypatch):
-    monkeypatch.setattr(topk, "BLOCK", 37)
+@pytest.mark.parametrize(("block", "query_block", "sample", "states"), [(37, 5, 100, 512), (2048, 1024, 2048, 512), (50, 2, 1, 1), (7, 3, 0, 2)])
+def test_top_k(spark, monkeypatch, block, query_block, sample, states):
+    for name, value in (("BLOCK", block), ("QUERY_BLOCK", query_block), ("SAMPLE", sample), ("STATES", states)):
+        monkeypatch.setattr(topk, name, value)
     df = spark.read.parquet(f"{SF}/embeddings.parquet")
     assert top(df) == naive_top([(r.vec_id, r.embedding) for r in df.collect()], 5)
 
@@ -61,8 +63,10 @@ def test_top_k_of_hard_rows(spark):
 
 
 @pytest.mark.parametrize("block", [2048, 1])
-def test_top_k_of_repeated_ids(spark, monkeypatch, block):
+@pytest.mark.parametrize("sample", [2048, 3])
+def test_top_k_of_repeated_ids(spark, monkeypatch, block, sample):
     monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "SAMPLE", sample)
     rng = np.random.default_rng(1)
     vectors = [(k, rng.normal(size=8).tolist()) for k in range(120)]
     vectors += [(k, v) for k, v in vectors if k % 50 == 0] * 5  # query rows that stand six times
@@ -73,6 +77,37 @@ def test_top_k_of_repeated_ids(spark, monkeypatch, block):
     assert found == naive_top(vectors, 5) and {q for q, *_ in found} == {0, 50, 100} and len(found) == 15
 
 
+def test_top_k_of_huge_numbers(spark):
+    """Products beyond 53 bits stay exact, beyond 64 bits they fail."""
+    rng = np.random.default_rng(4)
+    vectors = [(k, rng.integers(-(10**6), 10**6, 3).astype(float).tolist()) for k in range(60)] + [(100, [3e6, 1.0, 2.0]), (101, [3e6, 2.0, 1.0])]
+    df = spark.createDataFrame(vectors, "vec_id LONG, embedding ARRAY<DOUBLE>").repartition(2)
+    assert top(df) == naive_top(vectors, 5)
+    with pytest.raises(Exception, match="OverflowError|int too"):
+        top(spark.createDataFrame([(0, [1e12]), (1, [1e12])], df.schema))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(1, 12), st.integers(1, 6), st.integers(1, 40), st.integers(1, 4), st.integers(0, 2**32), st.booleans())
+def test_blocks_meet_in_any_order(dimension, queries, rows, k, seed, alike):
+    rng = np.random.default_rng(seed)
+    make = lambda n: np.floor(rng.normal(size=(n, dimension)) * (1 if alike else 300))
+    q_ids, ids, q, x = np.arange(queries) * 3, rng.integers(0, 30, rows), make(queries), make(rows)
+    best = topk.Best(topk.Block.made(q_ids.tolist(), q), k)
+    for part in np.array_split(rng.permutation(rows), min(rows, 4)):
+        own = part[np.argsort(ids[part], kind="stable")]
+        best.meet(topk.Block.made(ids[own].tolist(), x[own]))
+    got = sorted(zip(*(c.to_pylist() for c in best.batch().columns), strict=True))
+    expected = []
+    for i, v in zip(q_ids.tolist(), q, strict=True):
+        scores = {}
+        for j, w in zip(ids.tolist(), x, strict=True):
+            if i != j:
+                scores[j] = max(scores.get(j, -(10**18)), int(v @ w))
+        expected += [(i, j, s) for j, s in sorted(scores.items(), key=lambda e: (-e[1], e[0]))[:k]]
+    assert got == sorted(expected)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 20), st.integers(1, 9), st.integers(0, 2**32))
 def test_bounds_hold(dimension, n, seed):
