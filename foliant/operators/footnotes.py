@@ -119,24 +119,29 @@ def renumbered(pages: DataFrame) -> DataFrame:
     return pages.withColumn("first_note", F.coalesce(F.sum("n_notes").over(before), F.lit(0)) + 1)
 
 
-def carried_back(pages: DataFrame) -> DataFrame:
-    """Pages (book, page_no, last_note, continuation) with continuations moved to the last note of the nearest earlier page that has one.
+def carried(pages: DataFrame) -> DataFrame:
+    """Pages (book, page_no, has_note, continuation, …) with ``moved``, whether a page gives its continuation away, and ``more``, what it is given, in page order.
 
-    A continuation with nothing before it stays, and may be continued itself.
-    ``last_note`` gets everything carried to it, in page order; ``moved`` tells whether a page gave its continuation away.
+    A continuation goes to the nearest earlier page that has a note; with none
+    before it, it stays, and may be continued itself.
     """
     before = Window.partitionBy("book").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
-    something = F.col("last_note").isNotNull() | F.col("continuation").isNotNull()
-    rows = pages.withColumn("_any", F.coalesce(F.max(something).over(before), F.lit(False)))
-    anchor = F.col("last_note").isNotNull() | (F.col("continuation").isNotNull() & ~F.col("_any"))
-    rows = rows.withColumn("_anchor", F.when(anchor, F.col("page_no")))
-    rows = rows.withColumn("_target", F.when(F.col("continuation").isNotNull(), F.last("_anchor", ignorenulls=True).over(before)))
-    given = rows.where("_target IS NOT NULL").groupBy("book", F.col("_target").alias("page_no")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "continuation"))), lambda x: x["continuation"]), "<br />").alias("_more"))
-    stays = F.when(F.col("_target").isNull(), F.col("continuation"))
+    given, has = F.col("continuation").isNotNull(), F.coalesce("has_note", F.lit(False))
+    rows = pages.withColumn("_any", F.coalesce(F.max(has | given).over(before), F.lit(False)))
+    rows = rows.withColumn("_anchor", F.when(has | (given & ~F.col("_any")), F.col("page_no")))
+    rows = rows.withColumn("_target", F.when(given, F.last("_anchor", ignorenulls=True).over(before)))
+    pieces = F.array_sort(F.collect_list(F.struct("page_no", "continuation")))
+    more = rows.where("_target IS NOT NULL").groupBy("book", F.col("_target").alias("page_no")).agg(F.array_join(F.transform(pieces, lambda x: x["continuation"]), "<br />").alias("more"))
+    return rows.withColumn("moved", F.col("_target").isNotNull()).drop("_any", "_anchor", "_target").join(more, ["book", "page_no"], "left")
+
+
+def carried_back(pages: DataFrame) -> DataFrame:
+    """Pages (book, page_no, last_note, continuation) with continuations moved to the last note of the nearest earlier page that has one (see ``carried``)."""
+    rows = carried(pages.select("book", "page_no", "last_note", "continuation", F.col("last_note").isNotNull().alias("has_note")))
+    stays = F.when(~F.col("moved"), F.col("continuation"))
     own = F.coalesce(F.col("last_note"), F.concat(F.lit("="), stays))
-    joined = rows.join(given, ["book", "page_no"], "left")
-    text = F.when(F.col("_more").isNull(), own).otherwise(F.concat_ws("<br />", F.nullif(own, F.lit("")), F.col("_more")))
-    return joined.select("book", "page_no", text.alias("last_note"), stays.alias("continuation"), F.col("_target").isNotNull().alias("moved"))
+    text = F.when(F.col("more").isNull(), own).otherwise(F.concat_ws("<br />", F.nullif(own, F.lit("")), F.col("more")))
+    return rows.select("book", "page_no", text.alias("last_note"), stays.alias("continuation"), "moved")
 
 
 def ruled_sections(nodes: DataFrame) -> DataFrame:
