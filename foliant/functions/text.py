@@ -179,3 +179,32 @@ def headings_once(headings: Column) -> Column:
     marks = F.sequence(F.lit(1), F.greatest(F.size(headings), F.lit(1)))
     kept = F.filter(F.transform(marks, lambda k: F.when((k == 1) | ~F.get(headings, k - 1).eqNullSafe(F.get(headings, k - 2)), F.get(headings, k - 1))), lambda x: x.isNotNull())
     return F.when(F.size(headings) > 0, kept).otherwise(F.array().cast("array<string>"))
+
+
+def normal_path(path: Column) -> Column:
+    """A relative POSIX path without empty, ``.`` and resolvable ``..`` segments; ``.`` where nothing is left."""
+    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
+    climb = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda done, p: F.when((p == "..") & (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1)) != ".."), F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, p)),
+    )
+    joined = F.array_join(climb, "/")
+    return F.when(joined == "", ".").otherwise(joined)
+
+
+def zip_path(directory: Column, href: Column) -> Column:
+    """The entry that an href means in a directory; it never leaves the container."""
+    flat = normal_path(F.concat(directory, F.lit("/"), href))
+    return F.when(flat == ".", "").otherwise(F.regexp_replace(flat, r"^(?:\.\./)+(?:\.\.$)?|^\.\.$", ""))
+
+
+def relative_path(directory: Column, target: Column) -> Column:
+    """``target`` as seen from ``directory``; the target itself where both are the same or it is empty."""
+    parts = lambda path: F.filter(F.split(normal_path(path), "/"), lambda p: ~p.isin("", "."))
+    one, two = parts(directory), parts(target)
+    same = F.filter(F.transform(F.arrays_zip(one.alias("a"), two.alias("b")), lambda x: x["a"].eqNullSafe(x["b"])), lambda x: x.isNotNull())
+    differ = F.array_position(same, F.lit(False))
+    shared = F.when(differ > 0, differ - 1).otherwise(F.size(same)).cast("int")
+    path = F.concat(F.array_repeat(F.lit(".."), F.size(one) - shared), F.slice(two, shared + 1, F.greatest(F.size(two) - shared, F.lit(0))))
+    return F.when(F.size(path) == 0, target).otherwise(F.array_join(path, "/"))

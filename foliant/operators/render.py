@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 from foliant.functions import text as T
 
 # Labels of generated pages.
-LABELS = {"ar": {"title": "كتاب", "info": "بطاقة الكتاب", "toc": "فهرس الموضوعات"}, "en": {"title": "Book", "info": "Book Info", "toc": "Table of Contents"}}
+LABELS = {"ar": {"title": "كتاب", "page": "صفحة", "info": "بطاقة الكتاب", "toc": "فهرس الموضوعات"}, "en": {"title": "Book", "page": "Page", "info": "Book Info", "toc": "Table of Contents"}}
 # The style sheet and the container of a package.
 STYLES = "body{line-height:1.7;margin:1.5rem}"
 CONTAINER = '<?xml version="1.0" encoding="utf-8"?>\n<container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>\n'
 
 
+EPUB_SPACE = ' xmlns:epub="http://www.idpf.org/2007/ops"'
+
+
 def _concat(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
@@ -59,63 +62,99 @@ def rendered_toc(nodes: DataFrame, files: DataFrame) -> DataFrame:
     return pieces.select("book", F.array_join(F.transform("all", lambda x: x["nav"]), "").alias("nav"), F.array_join(F.transform("all", lambda x: x["ncx"]), "").alias("ncx"))
 
 
-def xhtml(title: Column, body: Column, stylesheet: str, language: Column, direction: Column, attributes: str = "") -> Column:
+# Fixed values below: elements, attributes and identifiers that the formats of pages, navigation, NCX and package documents ask for.
+def xhtml(title: Column, body: Column, stylesheet: Column | str, language: Column, direction: Column, attributes: Column | str = "") -> Column:
     """A whole XHTML document."""
     return _concat(
-        f'<?xml version="1.0" encoding="utf-8"?>\n<!DOCTYPE html>\n<html xmlns="http://www.w3.org/1999/xhtml"{attributes} lang="', T.escape_xml(language), '" dir="', T.escape_xml(direction), '">\n',
-        '<head> <meta charset="utf-8" /><title>', T.escape_xml(title), f'</title> <link rel="stylesheet" href="{stylesheet}" /> </head>\n<body> ', body, " </body>\n</html>\n",
+        '<?xml version="1.0" encoding="utf-8"?>\n<!DOCTYPE html>\n<html xmlns="http://www.w3.org/1999/xhtml"', attributes, ' lang="', T.escape_xml(language), '" dir="', T.escape_xml(direction), '">\n',
+        '<head> <meta charset="utf-8" /><title>', T.escape_xml(title), '</title> <link rel="stylesheet" href="', stylesheet if isinstance(stylesheet, str) else T.escape_xml(stylesheet), '" /> </head>\n<body> ', body, " </body>\n</html>\n",
     )
 
 
-def navigation(title: Column, heading: Column, items: Column, language: Column, direction: Column) -> Column:
-    """The navigation document around nested list items."""
-    body = _concat('<nav epub:type="toc" id="toc"><h1>', T.escape_xml(heading), "</h1>", F.when(items != "", items).otherwise("<ol></ol>"), "</nav>")
-    return xhtml(title, body, "styles.css", language, direction, ' xmlns:epub="http://www.idpf.org/2007/ops"')
+def navigation(title: Column, language: Column, direction: Column, items: Column, stylesheet: Column | str) -> Column:
+    """The navigation document around nested list items, behind links to the page about the book and to itself."""
+    own = _concat('<ol><li><a href="info.xhtml">', T.escape_xml(label(language, "info")), '</a></li><li><a href="nav.xhtml">', T.escape_xml(label(language, "toc")), "</a></li>")
+    listed = F.when(items != "", _concat(own, F.substring(items, F.lit(5), F.length(items)))).otherwise(_concat(own, "</ol>"))
+    body = _concat('<nav epub:type="toc" id="toc"><h1>', T.escape_xml(label(language, "toc")), "</h1>", listed, "</nav>")
+    return xhtml(title, body, stylesheet, language, direction, EPUB_SPACE)
 
 
-def ncx(title: Column, points: Column, identifier: Column) -> Column:
+def ncx(title: Column, language: Column, points: Column, identifier: Column) -> Column:
+    own = lambda name, target: _concat(f'<navPoint id="{target.split(".")[0]}"><navLabel><text>', T.escape_xml(label(language, name)), f'</text></navLabel><content src="{target}"/></navPoint>')
     return _concat(
         '<?xml version="1.0" encoding="utf-8"?>\n<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1"><head><meta content="', T.escape_xml(identifier), '" name="dtb:uid"/></head><docTitle><text>',
-        T.escape_xml(title), "</text></docTitle><navMap>", points, "</navMap></ncx>\n",
+        T.escape_xml(title), "</text></docTitle><navMap>", own("info", "info.xhtml"), own("toc", "nav.xhtml"), points, "</navMap></ncx>\n",
     )
 
 
-def package(title: Column, author: Column, language: Column, direction: Column, identifier: Column, files: Column) -> Column:
-    """The package document; ``files`` is the array of page files in reading order."""
+def package(title: Column, author: Column, language: Column, direction: Column, identifier: Column, files: Column, stylesheet: Column | str = "styles.css", toc_page: Column | None = None, assets: Column | None = None) -> Column:
+    """The package document; ``files`` is the array of page files in reading order, ``assets`` one of (href, media_type, properties)."""
     name = lambda f: F.replace(f, F.lit(".xhtml"), F.lit(""))
     items = F.array_join(F.transform(files, lambda f: _concat('<item id="', name(f), '" href="text/', f, '" media-type="application/xhtml+xml"/>')), "")
     refs = F.array_join(F.transform(files, lambda f: _concat('<itemref idref="', name(f), '"/>')), "")
     creator = F.when(author != "", _concat("<dc:creator>", T.escape_xml(author), "</dc:creator>")).otherwise("")
+    nav = F.when(toc_page, '<itemref idref="nav"/>').otherwise("") if toc_page is not None else ""
+    others: Column | str = ""
+    if assets is not None:
+        marked = lambda a: F.when(a["properties"] != "", _concat(' properties="', T.escape_xml(a["properties"]), '"')).otherwise("")
+        others = F.array_join(F.transform(assets, lambda a, k: _concat('<item id="a', (k + 1).cast("string"), '" href="', T.escape_xml(a["href"]), '" media-type="', T.escape_xml(a["media_type"]), '"', marked(a), "/>")), "")
     return _concat(
         '<?xml version="1.0" encoding="utf-8"?>\n<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="id"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="id">', T.escape_xml(identifier),
         "</dc:identifier><dc:title>", T.escape_xml(title), "</dc:title>", creator, "<dc:language>", language, '</dc:language></metadata><manifest><item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/>',
-        '<item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/><item id="css" href="styles.css" media-type="text/css"/><item id="info" href="info.xhtml" media-type="application/xhtml+xml"/>', items,
-        '</manifest><spine toc="ncx" page-progression-direction="', direction, '"><itemref idref="info"/>', refs, "</spine></package>\n",
+        '<item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/><item id="css" href="', stylesheet if isinstance(stylesheet, str) else T.escape_xml(stylesheet), '" media-type="text/css"/><item id="info" href="info.xhtml" media-type="application/xhtml+xml"/>', items, others,
+        '</manifest><spine toc="ncx" page-progression-direction="', direction, '"><itemref idref="info"/>', nav, refs, "</spine></package>\n",
     )
 
 
-def book_entries(books: DataFrame, pages: DataFrame, toc: DataFrame) -> DataFrame:
+#: What a book may have beside its required columns, and what stands for it.
+BOOK_DEFAULTS = {"identifier": "string", "style_path": "string", "style": "binary", "toc_page": "boolean", "assets": "array<struct<href:string,media_type:string,properties:string>>"}
+
+
+def book_entries(books: DataFrame, pages: DataFrame, toc: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     """Container entries (book, pos, name, content) of books (book, title, author, about, language, direction), pages (book, page_number, title, text_html) and nodes of contents.
 
-    Hand the result to ``sources.container.packed``; volumes are books of their own.
+    A book may bring its identifier, its style sheet (style_path, style), whether the navigation
+    is read as a page (toc_page), and files of its own: ``assets`` for its manifest, ``extra``
+    (book, name, content) for its container, but for names that are made here.  A book
+    without contents gets one entry for each page.  Hand the result to ``sources.container.packed``;
+    volumes are books of their own.
     """
     language, direction = T.volume_language(F.col("language")), T.page_direction(F.col("direction"))
-    about = books.select("book", F.coalesce(F.nullif(F.col("title"), F.lit("")), label(language, "title")).alias("title"), F.coalesce("author", F.lit("")).alias("author"), F.coalesce("about", F.lit("")).alias("about"), language.alias("language"), T.text_direction(language, direction).alias("direction"))
+    given = books.withColumns({n: F.lit(None).cast(t) for n, t in BOOK_DEFAULTS.items() if n not in books.columns})
+    title = F.coalesce(F.nullif(F.col("title"), F.lit("")), label(language, "title"))
+    identifier = F.coalesce(F.nullif("identifier", F.lit("")), _concat("book-", F.sha1(F.concat_ws("|", F.col("book").cast("string"), title))))
+    about = given.select(
+        "book", title.alias("title"), F.coalesce("author", F.lit("")).alias("author"), F.coalesce("about", F.lit("")).alias("about"), language.alias("language"), T.text_direction(language, direction).alias("direction"), identifier.alias("identifier"),
+        F.when(F.col("style").isNotNull(), F.coalesce("style_path", F.lit("OEBPS/styles.css"))).otherwise("OEBPS/styles.css").alias("style_path"), F.coalesce("style", F.encode(F.lit(STYLES), "UTF-8")).alias("style"), F.coalesce("toc_page", F.lit(False)).alias("toc_page"),
+        F.filter(F.coalesce("assets", F.array().cast(BOOK_DEFAULTS["assets"])), lambda a: (a["href"] != "") & (a["media_type"] != "")).alias("assets"),
+    )
     numbered = pages.withColumn("file", page_file(F.col("page_number"), F.max("page_number").over(Window.partitionBy("book"))))
     files = numbered.groupBy("book").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "file"))), lambda x: x["file"]).alias("files"))
-    contents = rendered_toc(toc, numbered.select("book", F.col("page_number").alias("page"), _concat("text/", F.col("file")).alias("file")))
+    nodes = toc.select("book", "path", "text", "page", "href", "anchor")
+    bare = numbered.join(nodes.select("book").distinct(), "book", "left_anti").join(about.select("book", "language"), "book")
+    none = F.lit(None).cast("string")
+    listed = bare.select("book", F.array(F.col("page_number").cast("int")).alias("path"), _concat(label(F.col("language"), "page"), " ", F.col("page_number").cast("string")).alias("text"), F.col("page_number").alias("page"), none.alias("href"), none.alias("anchor"))
+    contents = rendered_toc(nodes.unionByName(listed), numbered.select("book", F.col("page_number").alias("page"), _concat("text/", F.col("file")).alias("file")))
     whole = about.join(files, "book").join(contents, "book", "left")
-    c, identifier = F.col, _concat("book-", F.sha1(F.concat_ws("|", F.col("book").cast("string"), "title")))
-    lang, way = c("language"), c("direction")
+    c = F.col
+    lang, way, style = c("language"), c("direction"), T.relative_path(F.lit("OEBPS"), c("style_path"))
+    text = lambda x: F.encode(x if isinstance(x, Column) else F.lit(x), "UTF-8")
     parts = [
-        ("mimetype", F.lit("application/epub+zip")), ("META-INF/container.xml", F.lit(CONTAINER)), ("OEBPS/content.opf", package(c("title"), c("author"), lang, way, identifier, c("files"))), ("OEBPS/styles.css", F.lit(STYLES)),
-        ("OEBPS/info.xhtml", xhtml(label(lang, "info"), c("about"), "styles.css", lang, way)), ("OEBPS/nav.xhtml", navigation(c("title"), label(lang, "toc"), F.coalesce("nav", F.lit("")), lang, way)), ("OEBPS/toc.ncx", ncx(c("title"), F.coalesce("ncx", F.lit("")), identifier)),
+        (F.lit("mimetype"), text("application/epub+zip")), (F.lit("META-INF/container.xml"), text(CONTAINER)), (c("style_path"), c("style")),
+        (F.lit("OEBPS/content.opf"), text(package(c("title"), c("author"), lang, way, c("identifier"), c("files"), style, c("toc_page"), F.filter("assets", lambda a: T.zip_path(F.lit("OEBPS"), a["href"]) != c("style_path"))))),
+        (F.lit("OEBPS/info.xhtml"), text(xhtml(label(lang, "info"), c("about"), style, lang, way))), (F.lit("OEBPS/nav.xhtml"), text(navigation(c("title"), lang, way, F.coalesce("nav", F.lit("")), style))), (F.lit("OEBPS/toc.ncx"), text(ncx(c("title"), lang, F.coalesce("ncx", F.lit("")), c("identifier")))),
     ]
-    fixed = whole.select("book", F.explode(F.array(*[F.struct(F.lit(k).alias("pos"), F.lit(n).alias("name"), x.alias("content")) for k, (n, x) in enumerate(parts)])).alias("e")).select("book", "e.*")
+    fixed = whole.select("book", F.explode(F.array(*[F.struct(F.lit(k).alias("pos"), n.alias("name"), x.alias("content")) for k, (n, x) in enumerate(parts)])).alias("e")).select("book", "e.*")
     named = numbered.select("book", "page_number", "file", "text_html", F.col("title").alias("heading")).join(about, "book")
-    body = xhtml(F.coalesce("heading", "title"), c("text_html"), "../styles.css", lang, way)
-    paged = named.select("book", (F.col("page_number") + len(parts)).cast("int").alias("pos"), _concat("OEBPS/text/", c("file")).alias("name"), body.alias("content"))
-    return fixed.unionByName(paged).withColumn("content", F.encode("content", "UTF-8"))
+    spaced = F.when(c("text_html").contains("epub:type="), EPUB_SPACE).otherwise("")
+    body = xhtml(F.coalesce(F.nullif("heading", F.lit("")), "title"), c("text_html"), T.relative_path(F.lit("OEBPS/text"), c("style_path")), lang, way, spaced)
+    paged = named.select("book", (F.col("page_number") + len(parts)).cast("int").alias("pos"), _concat("OEBPS/text/", c("file")).alias("name"), text(body).alias("content"))
+    made = fixed.unionByName(paged)
+    if extra is None:
+        return made
+    own = extra.join(made.select("book", "name"), ["book", "name"], "left_anti").join(about.select("book"), "book", "left_semi")
+    place = F.lit(1 << 30) + F.dense_rank().over(Window.partitionBy("book").orderBy("name"))
+    return made.unionByName(own.select("book", place.cast("int").alias("pos"), "name", "content"))
 
 
 def volume_books(books: DataFrame, paged: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -123,7 +162,7 @@ def volume_books(books: DataFrame, paged: DataFrame) -> tuple[DataFrame, DataFra
     name = _concat(F.col("book").cast("string"), "/", F.col("volume").cast("string"))
     pages = paged.withColumn("_v", name).drop("book").withColumnRenamed("_v", "book")
     volumes = paged.select("book", "volume").distinct().join(books, "book")
-    return volumes.withColumns({"title": _concat(F.col("title"), " (", F.col("volume").cast("string"), ")"), "book": name}), pages
+    return volumes.withColumns({"title": F.trim(_concat(F.col("title"), " - ", F.col("volume").cast("string"))), "book": name}), pages
 
 
 def _flags(*options: tuple[Column, list[Column | str]]) -> Column:

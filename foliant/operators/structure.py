@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.functions.text import normal_path
+
 # Fixed value: the id of a numbered page.
 PAGE_ID = r"^page_([0-9]+)$"
 
@@ -26,18 +28,6 @@ def needs_cleanup(entries: DataFrame) -> DataFrame:
     return by_name.groupBy("book").agg((F.max("n") > 1).alias("twice"), F.coalesce(F.bool_or((F.col("name") == "mimetype") & (F.col("how") != 0)), F.lit(False)).alias("packed")).select("book", (F.col("twice") | F.col("packed")).alias("dirty"))
 
 
-def normal_path(path: Column) -> Column:
-    """A relative POSIX path without empty, ``.`` and resolvable ``..`` segments; ``.`` where nothing is left."""
-    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
-    climb = F.aggregate(
-        parts,
-        F.array().cast("array<string>"),
-        lambda done, p: F.when((p == "..") & (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1)) != ".."), F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, p)),
-    )
-    joined = F.array_join(climb, "/")
-    return F.when(joined == "", ".").otherwise(joined)
-
-
 def resolved(directory: Column, href: Column) -> Column:
     """The paths an href may mean: below the package's directory, then as it stands; its fragment is left out."""
     base = F.regexp_replace(F.substring_index(href, "#", 1), r"^\./", "")
