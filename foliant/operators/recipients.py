@@ -47,13 +47,13 @@ def parse_filters(text: str | None, as_of: datetime.datetime) -> Filters:
     return found
 
 
-def recipients(chats: DataFrame, events: DataFrame, filters: Filters) -> DataFrame:
-    """``chats`` that pass the filters; activity is a semi-join with the events since the cutoff."""
+def recipients(chats: DataFrame, events: DataFrame, filters: Filters, ordered: bool = True) -> DataFrame:
+    """``chats`` that pass the filters, by user_id; activity is a semi-join with the events since the cutoff.  The order costs a shuffle by ranges, which a caller that needs none can spare."""
     chosen = chats.where(F.col("user_name") != "") if filters.username_only else chats
-    if filters.active_after is None:
-        return chosen
-    active = events.where(F.col("created_at") >= F.lit(filters.active_after)).select("user_id")
-    return chosen.join(active, "user_id", "left_semi")
+    if filters.active_after is not None:
+        active = events.where(F.col("created_at") >= F.lit(filters.active_after)).select("user_id")
+        chosen = chosen.join(active, "user_id", "left_semi")
+    return chosen.orderBy("user_id") if ordered else chosen
 
 
 def delivered(attempts: DataFrame) -> DataFrame:

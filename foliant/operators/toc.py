@@ -36,6 +36,13 @@ def nested_by_levels(items: DataFrame, levels: int) -> DataFrame:
     return rows.withColumn("parent", parent).drop("_level")
 
 
+def by_page(items: DataFrame) -> DataFrame:
+    """``items`` (book, pos, page, level) with ``place`` from 1: as they stand, but by page (equal pages as they stand) in books where no item has a level."""
+    levels = F.count("level").over(Window.partitionBy("book"))
+    rows = items.withColumn("_page", F.when(levels == 0, F.col("page")))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("book").orderBy("_page", "pos"))).drop("_page")
+
+
 def flattened(nodes: DataFrame) -> DataFrame:
     """Nodes in document order (arrays of places sort like the walk), with ``play_order`` from 1."""
     return nodes.withColumn("play_order", F.row_number().over(Window.partitionBy("book").orderBy("path")))

@@ -99,6 +99,11 @@ def recorded(events: DataFrame) -> DataFrame:
     return events.withColumns({"error_message": F.substring("error_message", 1, ERROR_LENGTH), "output_size_bytes": F.nullif("output_size_bytes", F.lit(0).cast("long"))})
 
 
+def appended(events: DataFrame, path: str) -> None:
+    """Appends ``recorded`` events to the log at ``path``, a Parquet table by day, in which a period of days reads its own files only."""
+    recorded(events).withColumn("day", F.to_date("created_at")).repartition("day").write.mode("append").partitionBy("day").parquet(path)
+
+
 def _lines(rows: Column, of) -> Column:
     """Indented lines, or the line for no data."""
     text = F.array_join(F.transform(rows, lambda x: F.concat(F.lit("    __"), of(x), F.lit("__: "), x["count"].cast("string"), F.lit(" times.\n"))), "")

@@ -128,3 +128,12 @@ def right_to_left(entries: DataFrame) -> DataFrame:
     css = entries.where(F.endswith("name", F.lit(".css"))).withColumn("text", F.decode("content", "ISO-8859-1"))
     styled = css.select("book", "name", F.encode(T.right_to_left_css(F.col("text")), "ISO-8859-1").alias("content"))
     return container.replaced(entries, turned.unionByName(styled))
+
+
+def flat_contents(entries: DataFrame) -> DataFrame:
+    """``entries`` whose navigation documents and NCX files have one level, in document order; points are numbered anew."""
+    entries = stored(entries)
+    low = F.col("name")
+    chosen = entries.where(F.endswith(low, F.lit("nav.xhtml")) | F.endswith(low, F.lit("toc.ncx")))
+    first = chosen.groupBy("book", F.endswith("name", F.lit(".ncx")).alias("ncx")).agg(F.min_by("name", "pos").alias("name"))
+    return container.replaced(entries, container.with_flat_contents(entries, first.select("book", "name")))

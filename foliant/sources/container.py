@@ -253,6 +253,47 @@ def with_direction(entries: DataFrame, chosen: DataFrame) -> DataFrame:
     return _parsed(contents(entries, chosen.select("book", F.col("entry").alias("name"))), run, ["book", "name", "content"], "book string, name string, content binary")
 
 
+def _flat_points(root: ET.Element) -> None:
+    top = next((e for e in root.iter() if local(e) == "navmap"), None)
+    if top is None:
+        return
+    points = [e for e in top.iter() if local(e) == "navpoint"]
+    for number, point in enumerate(points, 1):
+        point[:] = [e for e in point if local(e) != "navpoint"]
+        point.attrib.clear()
+        point.attrib.update({"id": f"num_{number}", "playOrder": str(number)})
+    top[:] = points
+
+
+def _flat_list(root: ET.Element) -> None:
+    navs = [e for e in root.iter() if local(e) == "nav"]
+    nav = next(filter(_is_toc, navs), navs[0] if navs else None)
+    top = next((e for e in nav.iter() if local(e) == "ol"), None) if nav is not None else None
+    if top is None:
+        return
+    items = [e for e in top.iter() if local(e) == "li"]
+    for item in items:
+        item[:] = [e for e in item if local(e) != "ol"]
+    top[:] = items
+
+
+def with_flat_contents(entries: DataFrame, chosen: DataFrame) -> DataFrame:
+    """book, name and content of navigation documents and NCX files (book, name) with a single level."""
+
+    def run(row: tuple) -> list[tuple]:
+        root = markup.tree(row.content)
+        if root is None:
+            return []
+        (_flat_points if row.name.endswith(".ncx") else _flat_list)(root)
+        space = root.tag[1:].split("}")[0] if root.tag.startswith("{") else ""
+        if space and space != markup.XHTML:
+            ET.register_namespace("", space)
+            return [(row.book, row.name, ET.tostring(root, encoding="utf-8", xml_declaration=text_of(row.content).lstrip().startswith("<?xml")))]
+        return [(row.book, row.name, markup.document(root, text_of(row.content).lstrip().startswith("<?xml")).encode())]
+
+    return _parsed(contents(entries, chosen), run, ["book", "name", "content"], "book string, name string, content binary")
+
+
 PACKAGE = "book string, entry string, kind string, pos int, id string, href string, media_type string, properties string"
 
 

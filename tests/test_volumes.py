@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import re
 import zipfile
 
 import pytest
@@ -156,8 +154,7 @@ def test_files_are_written(spark, tmp_path):
     assert sorted(r.name for r in out) == [volumes.volume_file("book", k) for k in (1, 2)]
     with zipfile.ZipFile(tmp_path / "out" / "book - 1.epub") as z:
         assert z.namelist()[0] == "mimetype" and z.testzip() is None
-    assert not list((tmp_path / "out").glob("*.part")) and re.sub("x", "", volumes.volume_file("a/b:c  d", 3)) == "a_b_c d - 3.epub"
-    assert io.BytesIO(out[0].name.encode()).read()
+    assert not list((tmp_path / "out").glob("*.part")) and volumes.volume_file("a/b:c  d", 3) == "a_b_c d - 3.epub"
 
 
 def test_paths_in_containers(spark):
