@@ -593,27 +593,38 @@ def page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.table(spark, sf_dir, "events").select("event_id", T.page_of_file(name, F.lit(-1).cast("bigint")).alias("page"))
 
 
-@query("""SELECT doc_id, len(list_filter(list_transform(string_split_regex(text, '\\n'), lambda x: trim(x)), lambda x: x <> ''))::INT AS n_lines, length(regexp_replace(text, '\\s', '', 'g'))::INT AS visible
-FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE len(list_filter(string_split_regex(text, '\\n'), lambda x: length(x) >= 220 AND regexp_matches(x, '(^|\\s)[0-9]{1,4}\\s*[-–—]\\s+'))) > 0)""")
+# Lines of a text in SQL: a long line is cut before white space and a numbered item, where that gives two parts or more.
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def sql_lines(x: str) -> str:
+    cut = f"list_filter(list_transform(string_split(regexp_replace(y, '(^|\\s)([0-9]{{1,4}}\\s*[-–—]\\s+)', chr(1) || '\\1\\2', 'g'), chr(1)), lambda z: {_strip('z')}), lambda z: z <> '')"
+    lines = f"list_filter(list_transform(string_split_regex(replace(replace({x}, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\\n+'), lambda w: {_strip('w')}), lambda w: w <> '')"
+    return f"flatten(list_transform({lines}, lambda y: CASE WHEN length(y) >= 220 AND len({cut}) >= 2 THEN {cut} ELSE [y] END))"
+
+
+def sql_escaped(x: str) -> str:
+    return f"replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')"
+
+
+@query(f"""WITH l AS (SELECT doc_id, text, {sql_lines('text')} AS x FROM documents)
+SELECT doc_id, len(x)::INT AS n_lines, length(regexp_replace(text, '\\s', '', 'g'))::INT AS visible, sha256(array_to_string(x, chr(10))) AS lines FROM l""")
 def plain_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All texts, cut lines included; the SQL lacks look-ahead and leaves out texts with long numbered lines, which no given table has."""
-    return _documents(spark, sf_dir).select("doc_id", F.size(T.plain_lines(F.col("text"))).alias("n_lines"), T.visible_length(F.col("text")).alias("visible"))
+    lines = T.plain_lines(F.col("text"))
+    return _documents(spark, sf_dir).select("doc_id", F.size(lines).alias("n_lines"), T.visible_length(F.col("text")).alias("visible"), F.sha2(F.array_join(lines, "\n"), 256).alias("lines"))
 
 
-@query()
+@query(f"""WITH l AS (SELECT doc_id, {sql_lines('text')} AS x FROM documents), e AS (SELECT doc_id, unnest(range(len(x)))::INT AS pos, x FROM l)
+SELECT doc_id, pos, '<p>' || {sql_escaped('x[pos + 1]')} || '</p>' AS paragraph FROM e""")
 def html_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", F.posexplode(T.paragraphs(F.col("text"))).alias("pos", "paragraph"))
 
 
-@query("""WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: trim(x)) AS x FROM documents) SELECT doc_id, len(list_filter(string_split_regex(array_to_string(list_transform(x, lambda y: CASE WHEN y = '' THEN chr(30) ELSE y END), ' '), ' ?' || chr(30) || ' ?'), lambda y: trim(y) <> ''))::INT AS n_blocks FROM l""")
+@query("""WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: trim(x)) AS x FROM documents) SELECT doc_id, len(b)::INT AS n_blocks, sha256(array_to_string(b, chr(10))) AS blocks FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(array_to_string(list_transform(x, lambda y: CASE WHEN y = '' THEN chr(30) ELSE y END), ' '), '( ?' || chr(30) || ')+ ?'), lambda y: trim(y)), lambda y: y <> '') AS b FROM l)""")
 def block_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _documents(spark, sf_dir).select("doc_id", F.size(T.blocks(F.col("text"))).alias("n_blocks"))
-
-
-@query("""SELECT page_id, (len(string_split(html, '<li><a href="')) - 1)::INT AS n_links, regexp_extract(html, '<h1[^>]*>([^<]*)</h1>', 1) AS heading FROM pages""")
-def nav_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = F.regexp_extract_all("html", F.lit(r'<li><a href="([^"]*)"'), F.lit(1))
-    return P.table(spark, sf_dir, "pages").select("page_id", F.size(links).alias("n_links"), F.regexp_extract("html", r"<h1[^>]*>([^<]*)</h1>", 1).alias("heading"))
+    blocks = T.blocks(F.col("text"))
+    return _documents(spark, sf_dir).select("doc_id", F.size(blocks).alias("n_blocks"), F.sha2(F.array_join(blocks, "\n"), 256).alias("blocks"))
 
 
 @query("""SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS speakers FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE before IS NULL OR before <> role GROUP BY conv_id""")
@@ -625,23 +636,37 @@ def headings_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- footnotes
 
 
-@query("""SELECT doc_id, len(regexp_extract_all(text, '\\(\\^?[0-9]+\\)|\\[\\^?[0-9]+\\]'))::INT AS n_markers, coalesce(array_to_string(list_transform(regexp_extract_all(text, '\\(\\^?[0-9]+\\)|\\[\\^?[0-9]+\\]'), lambda x: regexp_extract(x, '[0-9]+')), ','), '') AS numbers,
-strpos(text, regexp_extract(text, '\\(\\^?[0-9]+\\)|\\[\\^?[0-9]+\\]')) AS first_at FROM documents WHERE regexp_matches(text, '\\(\\^?[0-9]+\\)|\\[\\^?[0-9]+\\]')""")
+_MARK = "'\\(\\^?[0-9]+\\)|\\[\\^?[0-9]+\\]'"
+
+
+@query(f"""WITH d AS (SELECT doc_id, text || ' ﴿a (' || doc_id || ')﴾ b [^' || doc_id % 7 || '] ﴾ c (3)' AS t FROM documents), m AS (SELECT doc_id, t, regexp_extract_all(t, {_MARK}) AS hits, string_split_regex(t, {_MARK}) AS gaps FROM d),
+x AS (SELECT doc_id, t, hits, gaps, unnest(range(1, len(hits) + 1)) AS i FROM m), s AS (SELECT doc_id, t, hits[i] AS hit, i, (list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda g: length(g))), 0))::BIGINT AS start FROM x)
+SELECT doc_id, i::INT AS n, start::INT AS start, (start + length(hit))::INT AS stop, regexp_extract(hit, '[0-9]+') AS number, hit LIKE '%^%' AS caret, CASE WHEN hit LIKE '[%' THEN 'square' ELSE 'paren' END AS bracket,
+ len(string_split(substr(t, 1, start), '﴿')) > len(string_split(substr(t, 1, start), '﴾')) OR right(rtrim(substr(t, 1, start), ' ' || chr(10)), 1) = '﴿' OR left(ltrim(substr(t, start + length(hit) + 1), ' ' || chr(10)), 1) = '﴾' AS verse FROM s""")
 def reference_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _documents(spark, sf_dir).where(F.col("text").rlike(footnotes.MARKER)).select("doc_id", footnotes.markers(F.col("text")).alias("m"))
-    return found.select("doc_id", F.size("m").alias("n_markers"), F.array_join(F.transform("m", lambda x: x["number"]), ",").alias("numbers"), (F.get("m", F.lit(0))["start"] + 1).cast("bigint").alias("first_at"))
+    """All markers of all texts, each text with three more at its end."""
+    text = F.concat("text", F.lit(" ﴿a ("), "doc_id", F.lit(")﴾ b [^"), F.col("doc_id") % 7, F.lit("] ﴾ c (3)"))
+    found = _documents(spark, sf_dir).select("doc_id", text.alias("t")).select("doc_id", F.posexplode(footnotes.markers(F.col("t"))).alias("k", "m"))
+    return found.select("doc_id", (F.col("k") + 1).alias("n"), "m.start", F.col("m.end").alias("stop"), "m.number", "m.caret", "m.bracket", "m.verse")
 
 
-@query()
+_NOTE = "{{'number': ({0} % 4)::VARCHAR, 'caret': {1} % 2 = 0, 'bracket': CASE WHEN l_returnflag = 'A' THEN 'square' ELSE 'paren' END, 'verse': l_linestatus = 'O'}}"
+
+
+@query(f"""WITH RECURSIVE {LINES}, p AS (SELECT l_orderkey AS page, list({_NOTE.format('l_suppkey', 'l_partkey')} ORDER BY pos) AS n, list({_NOTE.format('l_partkey', 'l_suppkey')} ORDER BY pos) AS c FROM li GROUP BY l_orderkey),
+st AS (SELECT page, n, c, 0 AS k, 0 AS cursor, []::INT[] AS picks FROM p UNION ALL
+ SELECT page, n, c, k + 1, coalesce(pick + 1, cursor)::INT, list_append(picks, pick::INT) FROM (SELECT *, list_sort(list_transform(list_filter(range(cursor, len(c)), lambda i: c[i + 1].number = n[k + 1].number),
+  lambda i: {{'a': c[i + 1].caret <> n[k + 1].caret, 'b': c[i + 1].bracket <> n[k + 1].bracket, 'v': c[i + 1].verse AND NOT c[i + 1].caret, 'k': i}}))[1].k AS pick FROM st WHERE k < len(n)))
+SELECT page, array_to_string(list_transform(picks, lambda x: coalesce(x::VARCHAR, '-')), ',') AS picked FROM st WHERE k = len(n)""")
 def note_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy linking of notes to markers; sequential, so SQL has no form of it."""
+    """Greedy linking of notes to markers."""
     parts = lambda key, k: F.struct((F.col(key) % 4).cast("string").alias("number"), (F.col(k) % 2 == 0).alias("caret"), F.when(F.col("l_returnflag") == "A", "square").otherwise("paren").alias("bracket"), (F.col("l_linestatus") == "O").alias("verse"))
     ordered = lambda x: F.transform(F.array_sort(F.collect_list(F.struct("pos", x.alias("x")))), lambda y: y["x"])
     pages = P.numbered_lines(spark, sf_dir).groupBy(F.col("l_orderkey").alias("page")).agg(ordered(parts("l_suppkey", "l_partkey")).alias("notes"), ordered(parts("l_partkey", "l_suppkey")).alias("candidates"))
     return pages.select("page", F.array_join(footnotes.links(F.col("notes"), F.col("candidates")), ",", "-").alias("picked"))
 
 
-NOTE_PAGES = "pg AS (SELECT conv_id AS book, turn AS page_no, CASE WHEN (conv_id + turn) % 3 = 0 THEN substr(text, 1, 20) END AS last_note, CASE WHEN (conv_id * 7 + turn) % 2 = 0 THEN substr(text, 1, 10) END AS continuation FROM conversations)"
+NOTE_PAGES = "pg AS (SELECT conv_id AS book, turn AS page_no, CASE WHEN (conv_id + turn) % 3 = 0 THEN text END AS last_note, CASE WHEN (conv_id * 7 + turn) % 2 = 0 THEN text END AS continuation FROM conversations)"
 
 
 @query(f"""WITH {NOTE_PAGES}, f AS (SELECT *, coalesce(bool_or(last_note IS NOT NULL OR continuation IS NOT NULL) OVER w, false) AS before_ FROM pg WINDOW w AS (PARTITION BY book ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
@@ -653,7 +678,7 @@ FROM (SELECT *, coalesce(last_note, CASE WHEN target IS NULL THEN '=' || continu
 def continuation_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = P.table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("book"), F.col("turn").alias("page_no"),
-        F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, F.substring("text", 1, 20)).alias("last_note"), F.when((F.col("conv_id") * 7 + F.col("turn")) % 2 == 0, F.substring("text", 1, 10)).alias("continuation"),
+        F.when((F.col("conv_id") + F.col("turn")) % 3 == 0, F.col("text")).alias("last_note"), F.when((F.col("conv_id") * 7 + F.col("turn")) % 2 == 0, F.col("text")).alias("continuation"),
     )
     return footnotes.carried_back(pages)
 
@@ -664,13 +689,13 @@ def renumbered_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {LINES}, b AS (SELECT l_orderkey AS page, pos, l_partkey % 3 AS k FROM li), g AS (SELECT page, pos, sum(CASE WHEN k > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY pos) AS id, k FROM b),
-first_ AS (SELECT page, min(pos) AS p FROM b GROUP BY page), c AS (SELECT g.*, CASE WHEN k = 0 AND pos = p THEN true ELSE false END AS lead_ FROM g JOIN first_ USING (page)) SELECT page, id::BIGINT AS note_id, count(*) AS n FROM c WHERE id > 0 GROUP BY page, id""")
+first_ AS (SELECT page, min(pos) AS p FROM b GROUP BY page), c AS (SELECT g.*, CASE WHEN k = 0 AND pos = p THEN true ELSE false END AS lead_ FROM g JOIN first_ USING (page)) SELECT page, id::BIGINT AS note_id, '(' || min(pos) FILTER (k > 0) || ')' AS number, string_agg('text ' || pos, '<br />' ORDER BY pos) AS content FROM c WHERE id > 0 GROUP BY page, id""")
 def note_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One block for each order: lines with a number begin a note, others belong to the note before."""
     line = F.when(F.col("l_partkey") % 3 == 0, F.concat(F.lit("text "), F.col("pos"))).otherwise(F.concat(F.lit("("), F.col("pos"), F.lit(") text "), F.col("pos")))
     html = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("x")))), lambda y: y["x"]), "<br/>")
     blocks = P.numbered_lines(spark, sf_dir).groupBy(F.col("l_orderkey").alias("page")).agg(F.concat(F.lit('<p class="hamesh">'), html, F.lit("</p>")).alias("html")).withColumn("block", F.lit(0))
-    return footnotes.notes(blocks).select("page", "note_id", F.size(F.split("content", "<br />")).cast("bigint").alias("n"))
+    return footnotes.notes(blocks).select("page", "note_id", "number", "content")
 
 
 # ---------------------------------------------------------------- assembly
@@ -716,17 +741,22 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book"), F.col("turn").alias("pos"), "text", F.when(F.col("turn") % 3 > 0, F.col("turn")).alias("id"), (F.col("turn") + 1).alias("page"), F.lit("٢").alias("part"))
 
 
-@query("""WITH r AS (SELECT conv_id AS book, turn AS pos, turn % 3 > 0 AS has_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM conversations) SELECT book, pos, (row_number() OVER (PARTITION BY book ORDER BY pos))::INT AS page_number, pos + 1 AS page, 2::BIGINT AS part, CASE WHEN has_id THEN pos END AS id, has_id AS anchored FROM r WHERE text <> ''""")
+_PARAS = f"list_transform({sql_lines('text')}, lambda q: '<p>' || {sql_escaped('q')} || '</p>')"
+BUILT = f"""r AS (SELECT conv_id AS book, turn AS pos, turn % 3 > 0 AS has_id, {_strip('text')} AS text FROM conversations), pg AS (SELECT book, pos, (row_number() OVER (PARTITION BY book ORDER BY pos))::INT AS page_number, has_id, {_PARAS} AS paras FROM r WHERE text <> '')"""
+
+
+@query(f"""WITH {BUILT} SELECT book, pos, page_number, pos + 1 AS page, 2::BIGINT AS part, CASE WHEN has_id THEN pos END AS id, has_id AS anchored,
+ '<div>' || CASE WHEN has_id AND pos % 2 = 1 THEN '<a id="toc_' || pos || '"></a>' ELSE '' END || array_to_string(paras, '') || '</div><div class="text-center">الجزء: 2 - الصفحة: ' || (pos + 1) || '</div>' AS text_html FROM pg""")
 def built_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir)
-    return assembly.pages(rows, rows.where("id % 2 = 1").select("book", "id"), split_numbered=False).select("book", "pos", "page_number", "page", "part", "id", "anchored")
+    return assembly.pages(rows, rows.where("id % 2 = 1").select("book", "id"), split_numbered=False).select("book", "pos", "page_number", "page", "part", "id", "anchored", "text_html")
 
 
-@query("""WITH r AS (SELECT conv_id AS book, turn AS pos, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM conversations WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '') SELECT book, pos AS id, max(n)::INT AS page_number FROM r WHERE pos % 3 > 0 GROUP BY book, pos""")
+@query(f"""WITH {BUILT} SELECT book, pos AS id, page_number, trim(array_to_string(list_transform(paras[1:2], lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))), chr(10))) AS snippet FROM pg WHERE has_id""")
 def pages_of_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir)
     paged = assembly.pages(rows, rows.where("id % 2 = 1").select("book", "id"), split_numbered=False)
-    return assembly.page_of_ids(paged).select("book", "id", "page_number")
+    return assembly.page_of_ids(paged).select("book", "id", "page_number", "snippet")
 
 
 @query("""WITH r AS (SELECT conv_id AS book, turn AS n, CASE WHEN turn % 2 = 0 THEN 'سورة ' || (turn % 3) ELSE 'other' END AS text FROM conversations) SELECT book, min(n)::INT AS page_number, text FROM r WHERE text LIKE 'سورة %' GROUP BY book, text""")
@@ -780,17 +810,6 @@ def heading_page_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.page_breaks(P.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book"), F.col("turn").alias("pos"), level.alias("level")))
 
 
-@query("""WITH p AS (SELECT conv_id AS book, turn + 1 AS n, max(turn + 1) OVER (PARTITION BY conv_id) AS hi FROM conversations)
-SELECT book, n AS page_number, 'OEBPS/text/page_1_' || lpad(n::VARCHAR, (length(hi::VARCHAR) + 1)::INT, '0') || '.xhtml' AS name FROM p""")
-def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = P.table(spark, sf_dir, "conversations")
-    pages = turns.select(F.col("conv_id").alias("book"), (F.col("turn") + 1).alias("page_number"), F.lit(None).cast("string").alias("title"), F.col("text").alias("text_html"))
-    books = turns.select(F.col("conv_id").alias("book")).distinct().select("book", F.lit("T").alias("title"), F.lit("").alias("author"), F.lit("").alias("about"), F.lit("ar").alias("language"), F.lit("").alias("direction"))
-    toc_ = pages.select("book", F.array("page_number").alias("path"), F.lit("x").alias("text"), F.col("page_number").alias("page"), F.lit(None).cast("string").alias("href"), F.lit("").alias("anchor"))
-    entries = render.book_entries(books, pages, toc_).where("name LIKE '%/text/%'")
-    return entries.select("book", (F.col("pos") - 7).cast("bigint").alias("page_number"), "name")
-
-
 @query("SELECT event_id, 'b' || (event_id % 3) AS message, CASE user_id % 3 WHEN 0 THEN 'ar' WHEN 1 THEN 'en' ELSE 'en' END AS language, CASE WHEN user_id % 3 = 0 AND event_id % 3 < 2 THEN 'ar b' || (event_id % 3) ELSE 'b' || (event_id % 3) END AS shown FROM events")
 def translated_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("user_id") % 3
@@ -818,3 +837,6 @@ def ruled_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(k == 0, "hr").when(k == 1, "aside").otherwise("p")
     text = F.when(k == 1, "open =").when(k == 2, "= goes on").when(k < 5, F.concat(F.lit("("), F.col("pos"), F.lit(") note"))).otherwise("text")
     return footnotes.ruled_sections(P.numbered_lines(spark, sf_dir).select(F.col("l_orderkey").alias("page"), "pos", kind.alias("kind"), text.alias("text")))
+
+
+from foliant.plans import books  # noqa: E402, F401  its queries are registered here
