@@ -10,12 +10,14 @@ A class is named by a number of one of its rows, so that rows of one doc_id with
 different texts stay apart.  Buckets are worked in two passes, neither of which
 expands a bucket into pairs of documents already known to belong together:
 
-1. every member is compared with the bucket's smallest member (linear);
-   verified links give first components;
-2. members outside the component of that smallest member are compared with all
-   members of other components, in cells of two blocks of about ``BLOCK`` members.
-
-Buckets are never gathered: their smallest members, sizes and blocks come from
+1. every member is compared with the bucket's pivot, the one of the smallest
+   doc_id (linear); verified links give first components;
+2. members outside the pivot's component are compared with all members of other
+   components, in cells of two blocks of about ``BLOCK`` members: once to offer each
+   component the likeliest pair only, then, with the components that these links
+   joined, for all pairs that are left.
+
+Buckets are never gathered: their pivots, sizes and blocks come from
 aggregates that are combined before they move, and a block is a hash of its
 members, so a hot bucket is spread over many tasks of bounded size.  A bucket of S
 members of which R are outside sends R * S / BLOCK rows.
@@ -159,13 +161,16 @@ def signatures(docs: DataFrame, percent: int) -> DataFrame:
 
 
 def buckets(representatives: DataFrame, percent: int) -> DataFrame:
-    """key, id and pivot (the smallest member) of the members of all buckets with two members or more."""
+    """key, id and pivot of the members of all buckets with two members or more; the pivot is the member with the smallest document."""
     count = half_count(percent)
-    keys = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda j: F.xxhash64(i, j, F.get("halves", i), F.get("halves", j + count)))))
-    rows = representatives.select("id", F.explode(keys).alias("key"))
+    # Many more rows come out than go in, so they start from as many partitions as a shuffle has.
+    spread = representatives.select("id", "doc", "halves").repartition(int(representatives.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    left = spread.select("id", "doc", "halves", F.posexplode(F.slice("halves", 1, count)).alias("i", "one"))
+    both = left.select("id", "doc", "i", "one", F.posexplode(F.slice("halves", count + 1, count)).alias("j", "two"))
+    rows = both.select("id", "doc", F.xxhash64("i", "j", "one", "two").alias("key"))
     # A written table, so that a hot key's rows can be split over tasks in the join.
-    pivots = written(rows.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("most")).where("pivot < most").select("key", "pivot"), "pivots")
-    return rows.join(pivots, "key").select("key", "id", "pivot")
+    pivots = written(rows.groupBy("key").agg(F.min_by("id", "doc").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot"), "pivots")
+    return rows.select("id", "key").join(pivots, "key").select("key", "id", "pivot")
 
 
 def _possible(n1: np.ndarray, n2: np.ndarray, apart: np.ndarray, percent: int) -> np.ndarray:
@@ -198,8 +203,15 @@ def possible_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataF
     return pairs.join(first, "a").join(second, "b").mapInArrow(run, "a long, b long")
 
 
-def _cell_pairs(ids: np.ndarray, n: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray, sketches: list[bytes], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a ``left`` and a ``right`` row of other components that the sketches do not rule out."""
+def _nearest(found: np.ndarray, comp: np.ndarray, difference: np.ndarray) -> np.ndarray:
+    """Of ``found``, for each component the row with the smallest difference."""
+    order = np.lexsort((difference, comp[found]))
+    first = np.unique(comp[found][order], return_index=True)[1]
+    return found[order][first]
+
+
+def _cell_pairs(ids: np.ndarray, n: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray, sketches: list[bytes], percent: int, nearest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a ``left`` and a ``right`` row of other components that the sketches do not rule out; with ``nearest`` a left row's likeliest of each component (and width) only."""
     width, same = np.array([len(s) // 8 for s in sketches]), np.array_equal(left, right)
     for w in np.unique(width[left]):
         own = np.flatnonzero(left & (width == w))
@@ -215,17 +227,20 @@ def _cell_pairs(ids: np.ndarray, n: np.ndarray, comp: np.ndarray, left: np.ndarr
                     ok &= ids[other] > ids[i]
                 take = np.flatnonzero(ok)
                 apart = np.bitwise_count(other_words[take] ^ own_words[k]).sum(axis=1)
-                found = other[take[_possible(n[other[take]], n[i], apart, percent)]]
+                ok = _possible(n[other[take]], n[i], apart, percent)
+                found = other[take[ok]]
+                if nearest and len(found) > 1:
+                    found = _nearest(found, comp, apart[ok] / (n[found] + n[i]))
                 if len(found):
                     yield np.minimum(ids[found], ids[i]), np.maximum(ids[found], ids[i])
 
 
-def cross_pairs(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+def cross_pairs(members: DataFrame, sketches: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
     """Pairs (a, b) of members of one bucket, but of two components, that the sketches do not rule out.
 
     ``members`` has key, id, component, and ``inside``: whether that is the component of the bucket's pivot.  A
     cell is a block of outside members (``low``) with another or the same one, or with a block of inside ones
-    (``high`` from -1 downwards).
+    (``high`` from -1 downwards).  With ``nearest`` a member offers each component its likeliest pair only.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +251,7 @@ def cross_pairs(members: DataFrame, sketches: DataFrame, percent: int) -> DataFr
                 return
             ids, n, comp, block = (np.array([r[c] for r in rows], np.int64) for c in ("id", "n_shingles", "component", "block"))
             low, high = rows[0]["low"], rows[0]["high"]
-            found = list(_cell_pairs(ids, n, comp, block == low, block == high, [r["sketch"] for r in rows], percent))
+            found = list(_cell_pairs(ids, n, comp, block == low, block == high, [r["sketch"] for r in rows], percent, nearest))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["a", "b"])
 
@@ -298,13 +313,25 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return sets.join(wanted.select("k0", "k1", "id"), ["k0", "k1"]).select("id", "elements")
 
 
+def _placed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """``members`` with their component, and whether it is that of their pivot."""
+    of_pivot = found.select(F.col("id").alias("pivot"), F.col("component").alias("pivots"))
+    known = members.join(found, "id", "left").join(of_pivot, "pivot", "left").select("key", "id", F.coalesce("component", "id").alias("component"), F.coalesce("pivots", "pivot").alias("pivots"))
+    return written(known.select("key", "id", "component", (F.col("component") == F.col("pivots")).alias("inside")), "known")
+
+
+def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links; links inside the old ones say nothing new, so stars stand for them."""
+    return components(found.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(links))
+
+
 def grouped(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, t0, t1, n_shingles, ``group`` (a name of the row's component; null: linked with nothing) and component_id of every row of ``docs`` (doc_id, text)."""
     if not 50 < percent <= 100:
         raise ValueError("the threshold must be above 50 percent, and 100 at most")
     table = written(signatures(docs, percent), "signatures")
     classes = written(table.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k0", "k1").agg(F.min("row").alias("id"), F.min("doc_id").alias("doc"), F.count("*").alias("copies")), "classes")
-    sketches = written(table.select(F.col("row").alias("id"), "n_shingles", "sketch", "halves").join(classes.select("id"), "id"), "sketches")
+    sketches = written(table.select(F.col("row").alias("id"), "n_shingles", "sketch", "halves").join(classes.select("id", "doc"), "id"), "sketches")
     members = written(buckets(sketches, percent), "buckets")
     wanted = classes.join(members.select("id").distinct(), "id", "left_semi")
     sets = written(full_sets(docs, wanted), "sets")
@@ -312,12 +339,9 @@ def grouped(docs: DataFrame, percent: int) -> DataFrame:
     pairs = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     links = written(verified(possible_pairs(pairs, sketches, percent), sets, percent), "links")
     first = components(links)
-    of_pivot = first.select(F.col("id").alias("pivot"), F.col("component").alias("pivots"))
-    known = members.join(first, "id", "left").join(of_pivot, "pivot", "left").select("key", "id", F.coalesce("component", "id").alias("component"), F.coalesce("pivots", "pivot").alias("pivots"))
-    known = written(known.select("key", "id", "component", (F.col("component") == F.col("pivots")).alias("inside")), "known")
-    # Links inside the first components say nothing new, so stars stand for them.
-    more = verified(cross_pairs(known, sketches, percent), sets, percent)
-    final = components(first.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more))
+    # First each outside member's likeliest links, as one link joins whole components; then all that is still open.
+    second = _merged(first, verified(cross_pairs(_placed(members, first), sketches, percent, nearest=True), sets, percent))
+    final = _merged(second, verified(cross_pairs(_placed(members, second), sketches, percent), sets, percent))
 
     labelled = written(classes.join(final, "id", "left").select("k0", "k1", "doc", F.coalesce("component", "id").alias("group"), ((F.col("copies") > 1) | F.col("component").isNotNull()).alias("several")), "labelled")
     # A component's own smallest class has no row in ``final``.
