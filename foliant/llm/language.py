@@ -43,6 +43,8 @@ _BASE = 0x9E3779B97F4A7C15
 _POWERS = np.array([pow(_BASE, k, 1 << 64) for k in range(ORDER + 1)], np.uint64)
 #: Characters that no model has seen share one unit of probability.
 UNSEEN = 1000.0
+#: Rows of two values that may be sent to all tasks.
+FEW = 100_000
 #: A text is rejected at this share of the distance between known languages.
 FOREIGN = 0.5
 
@@ -260,6 +262,8 @@ def sample(docs: DataFrame, documents: int, characters: int, total: int) -> dict
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ranked = labelled.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(1, min(documents, allowed)))
     chosen = ranked.select("doc_id", "lang").distinct()
+    if labels * max(1, min(documents, allowed)) <= FEW:  # so many rows at most; else texts meet them in a shuffle
+        chosen = F.broadcast(chosen)
     texts = labelled.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"], "left_semi").distinct().select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", "text", (size * 4 >= allowed).alias("long"))
     room = Window.partitionBy("lang").orderBy("long", "h", "doc_id", "text")
     fitting = texts.withColumns({"r": F.row_number().over(room), "upto": F.sum(size).over(room.rowsBetween(Window.unboundedPreceding, 0))}).where((F.col("r") == 1) | (F.col("upto") <= allowed))
