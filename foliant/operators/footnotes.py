@@ -67,7 +67,7 @@ def links(notes: Column, candidates: Column) -> Column:
     return F.aggregate(
         notes,
         F.struct(F.lit(0).alias("cursor"), F.array().cast("array<int>").alias("out")),
-        lambda s, note: F.struct(F.coalesce(pick(s["cursor"], note) + 1, s["cursor"]).alias("cursor"), F.concat(s["out"], F.array(pick(s["cursor"], note))).alias("out")),
+        lambda s, note: F.get(F.transform(F.array(pick(s["cursor"], note)), lambda p: F.struct(F.coalesce(p + 1, s["cursor"]).alias("cursor"), F.concat(s["out"], F.array(p)).alias("out"))), F.lit(0)),
         lambda s: s["out"],
     )
 

@@ -41,20 +41,19 @@ def with_fixed_case(items: DataFrame, entries: DataFrame) -> DataFrame:
     An href whose path is there stays.  Else the first of its paths that equals
     exactly one entry name but for case is taken, relative to the directory.
     """
-    names = entries.select("book", "name").distinct()
-    by_lower = names.groupBy("book", F.lower("name").alias("lower")).agg(F.count("*").alias("n"), F.max("name").alias("actual"))
-    paths = items.select("book", "pos", F.posexplode(resolved(F.col("directory"), F.col("href"))).alias("at", "path"))
-    exact = names.select("book", F.col("name").alias("path"), F.lit(True).alias("there"))
-    looked = paths.withColumn("lower", F.lower("path")).join(by_lower, ["book", "lower"], "left").join(exact, ["book", "path"], "left")
-    found = looked.groupBy("book", "pos").agg(
-        F.coalesce(F.bool_or("there"), F.lit(False)).alias("as_is"),
-        F.min_by(F.when(F.col("n") == 1, F.col("actual")), F.when(F.col("n") == 1, F.col("at"))).alias("near"),
-    )
+    # One row for all entries that differ in case only; items meet it by each of their (at most two) paths.
+    alike = entries.groupBy("book", F.lower("name").alias("lower")).agg(F.collect_set("name").alias("names"))
+    paths = resolved(F.col("directory"), F.col("href"))
+    joined = items.withColumns({"_one": F.get(paths, F.lit(0)), "_two": F.get(paths, F.lit(1))})
+    for path in ("_one", "_two"):
+        joined = joined.withColumn("lower", F.lower(path)).join(alike.withColumnRenamed("names", f"{path}_names"), ["book", "lower"], "left").drop("lower")
+    there = lambda path: F.coalesce(F.array_contains(f"{path}_names", F.col(path)), F.lit(False))
+    only = lambda path: F.when(F.size(f"{path}_names") == 1, F.get(f"{path}_names", F.lit(0)))
+    joined = joined.withColumns({"as_is": there("_one") | there("_two"), "near": F.coalesce(only("_one"), only("_two"))})
     fragment = F.when(F.instr("href", "#") > 0, F.expr("substring(href, instr(href, '#'))")).otherwise(F.lit(""))
     fragment = F.when(fragment == "#", F.lit("")).otherwise(fragment)
     inside = (F.col("directory") != "") & F.startswith("near", F.concat("directory", F.lit("/")))
     relative = F.when(inside, F.expr("substring(near, length(directory) + 2)")).otherwise(F.col("near"))
-    joined = items.join(found, ["book", "pos"], "left")
     changed = ~F.col("as_is") & F.col("near").isNotNull()
     columns = [F.when(changed, F.concat(relative, fragment)).otherwise(F.col("href")).alias(c) if c == "href" else F.col(c) for c in items.columns if c != "exists"]
     return joined.select(*columns, F.coalesce(F.col("as_is") | changed, F.lit(False)).alias("exists"))

@@ -6,34 +6,61 @@ node, or null at the top), or ``path``, its places from the top down.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _level(levels: int | None = None) -> Column:
+    """The level of an item, 1 where it is null or less; more than ``levels`` is an error."""
+    level = F.when(F.coalesce("level", F.lit(0)) > 0, F.col("level")).otherwise(1)
+    return level if levels is None else F.when(level > levels, F.raise_error(F.lit(f"an item has a level beyond {levels}")).cast("int")).otherwise(level.cast("int"))
+
+
 def nested(items: DataFrame) -> DataFrame:
     """``items`` (book, pos, level) with ``parent``, the last earlier item of a smaller level.
 
-    Levels may be any numbers; each item looks at all earlier items of its book,
-    so where levels are known to be few ``nested_by_levels`` is the better choice.
+    Levels may be any numbers; a book's items pass once, in order, with the items that are still open on a stack.
     A level that is null or below 1 counts as 1.
     """
-    level = F.when(F.coalesce("level", F.lit(0)) > 0, F.col("level")).otherwise(1)
-    rows = items.withColumn("_level", level)
-    before = Window.partitionBy("book").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.collect_list(F.struct(F.col("_level").alias("l"), F.col("pos").alias("p"))).over(before)
-    parent = F.array_max(F.transform(F.filter(earlier, lambda e: e["l"] < F.col("_level")), lambda e: e["p"]))
-    return rows.withColumn("parent", parent).drop("_level")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book, above = None, []
+        for batch in batches:
+            parents = []
+            for of, level, pos in zip(*(batch.column(c).to_pylist() for c in ("book", "level_", "pos")), strict=True):
+                if of != book:
+                    book, above = of, []
+                while above and above[-1][0] >= level:
+                    above.pop()
+                parents.append(above[-1][1] if above else None)
+                above.append((level, pos))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parents, batch.schema.field("pos").type)], names=[*batch.schema.names, "parent"])
+
+    ordered = items.withColumn("level_", _level().cast("long")).repartition("book").sortWithinPartitions("book", "pos")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema)
+    return ordered.mapInArrow(run, f"{fields}, parent {items.schema['pos'].dataType.simpleString()}").drop("level_")
 
 
 def nested_by_levels(items: DataFrame, levels: int) -> DataFrame:
-    """As ``nested`` where levels are at most ``levels``: one running maximum for each, constant memory for each book."""
-    level = F.when(F.coalesce("level", F.lit(0)) > 0, F.col("level")).otherwise(1)
-    rows = items.withColumn("_level", level)
+    """As ``nested`` where levels are at most ``levels``, with ``path`` too: one running maximum for each level, constant memory for each book, no join.
+
+    The items above one are the last earlier items of smaller levels, but for those that an item of a still smaller level followed.
+    """
     before = Window.partitionBy("book").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.max(F.when(F.col("_level") == k, F.col("pos"))).over(before) for k in range(1, levels)]
-    choices = [F.when(F.col("_level") > k + 1, x) for k, x in enumerate(last)]
-    parent = F.greatest(*choices) if len(choices) > 1 else (choices[0] if choices else F.lit(None).cast("int"))
-    return rows.withColumn("parent", parent).drop("_level")
+    rows = items.withColumn("level_", _level(levels))
+    rows = rows.withColumns({f"last_{k}": F.max(F.when(F.col("level_") == k, F.col("pos"))).over(before) for k in range(1, levels)})
+    above: Column = F.array().cast(f"array<{items.schema['pos'].dataType.simpleString()}>")
+    greatest: Column = F.lit(None).cast(items.schema["pos"].dataType)
+    parts = []
+    for k in range(1, levels):
+        last = F.col(f"last_{k}")
+        parts.append(F.when((F.col("level_") > k) & last.isNotNull() & (greatest.isNull() | (last > greatest)), last))
+        greatest = F.greatest(greatest, last)
+    path = F.concat(F.filter(F.array(*parts), lambda x: x.isNotNull()) if parts else above, F.array("pos"))
+    return rows.withColumn("path", path).select(*items.columns, F.try_element_at("path", F.lit(-2)).alias("parent"), "path")
 
 
 def by_page(items: DataFrame) -> DataFrame:
@@ -49,14 +76,15 @@ def flattened(nodes: DataFrame) -> DataFrame:
 
 
 def with_paths(nodes: DataFrame, depth: int) -> DataFrame:
-    """``nodes`` with ``path``, the nodes from the top down; ``depth`` joins walk up at most that many steps."""
+    """``nodes`` (book, node, parent) of any origin with ``path``, the nodes from the top down; a node deeper than ``depth`` is an error."""
     up = nodes.select(F.col("book").alias("_book"), F.col("node").alias("_node"), F.col("parent").alias("_above"))
     out = nodes.withColumns({"path": F.array("node"), "_next": F.col("parent")})
     for _ in range(depth - 1):
         grown = out.join(up, (F.col("book") == F.col("_book")) & (F.col("_next") == F.col("_node")), "left")
         longer = F.when(F.col("_next").isNotNull(), F.concat(F.array("_next"), F.col("path"))).otherwise(F.col("path"))
         out = grown.withColumns({"path": longer, "_next": F.col("_above")}).drop("_book", "_node", "_above")
-    return out.drop("_next")
+    kind = nodes.schema["node"].dataType.simpleString()
+    return out.withColumn("path", F.when(F.col("_next").isNotNull(), F.raise_error(F.lit(f"a node is deeper than {depth}")).cast(f"array<{kind}>")).otherwise(F.col("path"))).drop("_next")
 
 
 def page_aliases(pages: DataFrame) -> DataFrame:

@@ -68,30 +68,54 @@ def event_counts(events: DataFrame, as_of: datetime.datetime, recent_days: float
     )
 
 
-def counter_totals(analytics: DataFrame) -> DataFrame:
+def _largest(count: Column, limit: int, *names: str) -> Column:
+    """Within an aggregate: the rows with the highest positive count, ties by name, as an ordered array of structs.  For rows of few kinds."""
+    row = F.struct((-count).alias("order"), *names, count.cast("long").alias("count"))
+    return F.transform(F.slice(F.array_sort(F.collect_list(F.when(count > 0, row))), 1, limit), lambda x: F.struct(*[x[c].alias(c) for c in (*names, "count")]))
+
+
+def log_summary(events: DataFrame, as_of: datetime.datetime, recent_days: float, top_limit: int, week_days: float = 7) -> DataFrame:
+    """One row with all that ``event_counts`` says and the lists of (failed) pairs, from one scan of the log.
+
+    Where it is read the log becomes a row for each user, pair and outcome; of these, users and pairs are counted in one more pass.
+    """
+    scanned = recent(events, as_of, max(recent_days, week_days))
+    inside = F.col("created_at") >= F.lit(as_of - datetime.timedelta(days=recent_days))
+    in_week = F.col("created_at") >= F.lit(as_of - datetime.timedelta(days=week_days))
+    cells = scanned.groupBy("user_id", "input_format", "output_format", "success").agg(
+        F.max(in_week).alias("week"), F.count_if(inside).alias("n"), F.sum(F.when(inside, F.col("duration_ms").cast("decimal(28,6)"))).alias("duration"), F.count(F.when(inside, F.col("duration_ms"))).alias("timed"),
+    )
+    keys = ["user_id", "input_format", "output_format", "success"]
+    counted = cells.groupingSets([["user_id"], ["input_format", "output_format"], ["input_format", "output_format", "success"]], *keys).agg(
+        F.grouping_id().alias("set"), F.max("week").alias("week"), F.sum("n").alias("n"), F.sum(F.when(F.col("success"), F.col("n"))).alias("good"), F.sum("duration").alias("duration"), F.sum("timed").alias("timed"),
+    )
+    # Sets by the keys that they leave out: 0111 users, 1001 pairs, 1000 pairs of one outcome.
+    of_user, pair, failed = F.col("set") == 0b0111, F.col("set") == 0b1001, (F.col("set") == 0b1000) & ~F.col("success")
+    known = of_user & F.col("user_id").isNotNull()
     zero = F.lit(0).cast("long")
-    return analytics.agg(F.coalesce(F.sum("output_times"), zero).alias("legacy_successes"), F.coalesce(F.sum("input_times"), zero).alias("legacy_input_total"))
+    total = lambda c: F.coalesce(F.sum(F.when(of_user, F.col(c))), zero)
+    summed = counted.agg(
+        F.count_if(known & F.col("week")).alias("active_7d"), F.count_if(known & (F.col("n") > 0)).alias("active_recent"), total("n").alias("attempts"), total("good").alias("successes"), F.sum(F.when(of_user, F.col("duration"))).alias("duration"), total("timed").alias("timed"),
+        _largest(F.when(pair, F.col("n")), top_limit, "input_format", "output_format").alias("top_pairs"), _largest(F.when(failed, F.col("n")), top_limit, "input_format", "output_format").alias("failed_pairs"),
+    )
+    return summed.select(
+        "active_7d", "active_recent", "attempts", "successes", (F.col("attempts") - F.col("successes")).alias("failures"), percent(F.col("successes"), F.col("attempts")).alias("success_percent"),
+        F.when(F.col("timed") > 0, F.col("duration") / F.when(F.col("timed") > 0, F.col("timed"))).cast("long").alias("avg_duration_ms"), "top_pairs", "failed_pairs",
+    )
 
 
-def _listed(rows: DataFrame, name: str, *columns: str) -> DataFrame:
-    """One row with an ordered array of the (few) ``rows``."""
-    items = F.struct(F.negative("count").alias("_order"), *columns, "count")
-    dropped = F.transform(F.array_sort(F.collect_list(items)), lambda x: F.struct(*[x[c].alias(c) for c in (*columns, "count")]))
-    return rows.agg(dropped.alias(name))
+def counter_summary(analytics: DataFrame, top_limit: int) -> DataFrame:
+    """One row with the totals of all counters and the lists of formats; there are as many rows as formats."""
+    zero = F.lit(0).cast("long")
+    return analytics.agg(
+        F.coalesce(F.sum("output_times"), zero).alias("legacy_successes"), F.coalesce(F.sum("input_times"), zero).alias("legacy_input_total"),
+        _largest(F.col("input_times"), top_limit, "format").alias("input_formats"), _largest(F.col("output_times"), top_limit, "format").alias("output_formats"),
+    )
 
 
 def snapshot(events: DataFrame, chats: DataFrame, analytics: DataFrame, as_of: datetime.datetime, recent_days: float = 30, top_limit: int = 5) -> DataFrame:
-    """All statistics as one row; lists are arrays of structs."""
-    now = recent(events, as_of, recent_days)
-    parts = [
-        chat_counts(chats), counter_totals(analytics), event_counts(events, as_of, recent_days),
-        _listed(top_pairs(now, top_limit), "top_pairs", "input_format", "output_format"), _listed(top_pairs(now, top_limit, success=False), "failed_pairs", "input_format", "output_format"),
-        _listed(top_formats(analytics, "input_times", top_limit), "input_formats", "format"), _listed(top_formats(analytics, "output_times", top_limit), "output_formats", "format"),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.crossJoin(part)  # one row each
-    return out
+    """All statistics as one row; lists are arrays of structs.  Each table is read once."""
+    return chat_counts(chats).crossJoin(counter_summary(analytics, top_limit)).crossJoin(log_summary(events, as_of, recent_days, top_limit))  # one row each
 
 
 def recorded(events: DataFrame) -> DataFrame:

@@ -460,9 +460,18 @@ def _leveled(spark: SparkSession, sf_dir: str) -> DataFrame:
 LEVELED = f"{LINES}, lv AS (SELECT l_orderkey AS book, pos, (1 + l_suppkey % 5)::INT AS level FROM li)"
 
 
-@query(f"WITH {LEVELED} SELECT a.book, a.pos, a.level, max(b.pos) AS parent FROM lv a LEFT JOIN lv b ON a.book = b.book AND b.pos < a.pos AND b.level < a.level GROUP BY a.book, a.pos, a.level")
+NESTED = f"WITH {LEVELED} SELECT a.book, a.pos, a.level, max(b.pos) AS parent FROM lv a LEFT JOIN lv b ON a.book = b.book AND b.pos < a.pos AND b.level < a.level GROUP BY a.book, a.pos, a.level"
+
+
+@query(NESTED)
 def toc_nest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toc.nested_by_levels(_leveled(spark, sf_dir), 5)
+    return toc.nested_by_levels(_leveled(spark, sf_dir), 5).drop("path")
+
+
+@query(NESTED)
+def toc_nest_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same items where levels may be any numbers."""
+    return toc.nested(_leveled(spark, sf_dir))
 
 
 TREE = f"""{LEVELED}, pa AS (SELECT a.book, a.pos, max(b.pos) AS parent FROM lv a LEFT JOIN lv b ON a.book = b.book AND b.pos < a.pos AND b.level < a.level GROUP BY a.book, a.pos),
@@ -470,8 +479,7 @@ tree AS (WITH RECURSIVE t AS (SELECT book, pos, parent, [pos] AS path FROM pa WH
 
 
 def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = toc.nested_by_levels(_leveled(spark, sf_dir), 5).withColumnRenamed("pos", "node")
-    return toc.with_paths(nodes, 5)
+    return toc.nested_by_levels(_leveled(spark, sf_dir), 5).withColumnRenamed("pos", "node")
 
 
 @query(f"WITH {TREE} SELECT book, pos AS node, list_transform(path, lambda x: x::VARCHAR)::VARCHAR AS path, (row_number() OVER (PARTITION BY book ORDER BY path))::INT AS play_order FROM tree")

@@ -104,7 +104,40 @@ def test_trees_against_recursion(spark):
 def test_nesting_forms_agree(spark, rows):
     rng = random.Random(5)
     items = spark.createDataFrame([(b, p, rng.choice([None, -1, 1, 2, 3, 4])) for b in range(60) for p in range(rng.randint(1, 14))], "book INT, pos INT, level INT")
-    assert rows(toc.nested(items)) == rows(toc.nested_by_levels(items, 4))
+    by_levels = toc.nested_by_levels(items, 4)
+    assert rows(toc.nested(items)) == rows(by_levels.drop("path"))
+    walked = toc.with_paths(by_levels.drop("path").withColumnRenamed("pos", "node"), 4)
+    assert rows(walked, "book", "node", "path") == rows(by_levels, "book", "pos", "path")
+
+
+def test_depths_beyond_what_is_said(spark):
+    import pytest
+
+    deep = spark.createDataFrame([("b", k, k) for k in range(1, 6)], "book STRING, pos INT, level INT")
+    with pytest.raises(Exception, match="beyond 4"):
+        toc.nested_by_levels(deep, 4).collect()
+    nodes = toc.nested_by_levels(deep, 5).drop("path").withColumnRenamed("pos", "node")
+    with pytest.raises(Exception, match="deeper than 4"):
+        toc.with_paths(nodes, 4).collect()
+    assert toc.with_paths(nodes, 5).where("node = 5").first()["path"] == [1, 2, 3, 4, 5]
+
+
+def test_exchanges_are_few(spark):
+    """One scan of the log in a snapshot, one window and no join for paths, two joins for letter case."""
+    import datetime
+
+    from foliant.operators import usage
+    from foliant.sources import proxies
+
+    sf = "/root/testdata/sf0.001"
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    events = proxies.conversion_events(spark, sf)
+    assert plan(usage.log_summary(events, datetime.datetime(2024, 6, 1), 30, 5)).count("FileScan") == 1
+    items = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("o_custkey AS book", "o_orderkey AS pos", "CAST(o_orderkey % 5 + 1 AS INT) AS level", "'a' AS directory", "'b' AS href")
+    paths = plan(toc.nested_by_levels(items, 5))
+    assert paths.count("Window [") == 1 and "Join" not in paths
+    names = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("l_orderkey AS book", "l_comment AS name" if "l_comment" in spark.read.parquet(f"{sf}/lineitem.parquet").columns else "l_returnflag AS name")
+    assert plan(structure.with_fixed_case(items, names)).count("Join") == 2
 
 
 def archive(entries):
