@@ -273,7 +273,7 @@ def sample(docs: DataFrame, documents: int, characters: int, total: int) -> dict
     return by
 
 
-def learned(by: dict[str, list[str]], slack: float = 3.0, spread: float = 6.0) -> Identifier:
+def learned(by: dict[str, list[str]], slack: float = 3.0, spread: float = 8.0) -> Identifier:
     """Models of the labels in ``by`` and the calibration of rejection, from every fifth text of a label (from all where there are fewer)."""
     learn = {lang: [t for k, t in enumerate(texts) if k % 5 != 4] for lang, texts in sorted(by.items())}
     learn = {lang: texts for lang, texts in learn.items() if any(map(str.isalpha, "".join(texts)))}
@@ -299,7 +299,7 @@ def learned(by: dict[str, list[str]], slack: float = 3.0, spread: float = 6.0) -
     return identifier
 
 
-def fit(docs: DataFrame, documents: int = 150, characters: int = 600_000, total: int = 6_000_000, most_bytes: int = 200 << 20, slack: float = 3.0, spread: float = 6.0) -> Identifier:
+def fit(docs: DataFrame, documents: int = 150, characters: int = 600_000, total: int = 6_000_000, most_bytes: int = 200 << 20, slack: float = 3.0, spread: float = 8.0) -> Identifier:
     """Models of all labels of ``docs`` (doc_id, text, lang), from a bounded sample of rows that are not held out; together at most ``most_bytes`` large."""
     by = sample(docs, documents, characters, total)
     while (identifier := learned(by, slack, spread)).nbytes > most_bytes and any(len(texts) > 1 for texts in by.values()):
