@@ -107,11 +107,20 @@ def with_front_matter(spine: DataFrame, items: DataFrame) -> DataFrame:
     return both.select("book", (F.row_number().over(order) - 1).alias("pos"), "idref")
 
 
+def repaired_manifest(items: DataFrame, entries: DataFrame) -> DataFrame:
+    """Manifest items after all repairs, in this order: letter case, duplicates, dead items, page order."""
+    return pages_in_order(live_items(unique_items(with_fixed_case(items, entries))), "id")
+
+
+def repaired_spine(spine: DataFrame, manifest: DataFrame) -> DataFrame:
+    """The spine by a repaired manifest: known items once each, front matter, page order."""
+    return pages_in_order(with_front_matter(clean_spine(spine, manifest), manifest), "idref")
+
+
 def repaired(items: DataFrame, spine: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Manifest and spine after all repairs, in this order: letter case, duplicates, dead items, page order; then the spine by the manifest."""
-    manifest = pages_in_order(live_items(unique_items(with_fixed_case(items, entries))), "id")
-    order = with_front_matter(clean_spine(spine, manifest), manifest)
-    return manifest, pages_in_order(order, "idref")
+    """Manifest and spine after all repairs."""
+    manifest = repaired_manifest(items, entries)
+    return manifest, repaired_spine(spine, manifest)
 
 
 # Entries that a rewrite generates itself.

@@ -121,6 +121,21 @@ def with_standard_footnotes(entries: DataFrame) -> DataFrame:
     return container.replaced(entries, new)
 
 
+def repaired(entries: DataFrame) -> DataFrame:
+    """``entries``, each name once, whose package documents have a repaired manifest and spine (see ``structure.repaired``); books without both stay."""
+    entries = stored(structure.unique_entries(entries))
+    found = stored(container.packages(entries, structure.package_entry(container.rootfiles(entries), entries)).where((F.size("items") > 0) & (F.size("spine") > 0)))
+    items = found.select("book", "directory", F.explode("items").alias("i")).select("book", "directory", "i.pos", "i.id", "i.href", F.col("i.pos").alias("at"))
+    spine = found.select("book", F.explode("spine").alias("s")).select("book", "s.pos", "s.idref")
+    manifest = stored(structure.repaired_manifest(items, entries))
+    order = structure.repaired_spine(spine, manifest)
+    listed = manifest.groupBy("book").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "at", "href"))), lambda x: F.struct(x["at"].alias("at"), x["href"].alias("href"))).alias("items"))
+    read = order.groupBy("book").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "idref"))), lambda x: x["idref"]).alias("spine"))
+    none = F.array().cast("array<string>")
+    new = found.select("book", "entry").join(listed, "book").join(read, "book", "left").withColumn("spine", F.coalesce("spine", none))
+    return container.replaced(entries, container.with_packages(entries, new))
+
+
 def right_to_left(entries: DataFrame) -> DataFrame:
     """``entries`` whose books read from right to left: in the spine of the package and in all style sheets; doing so twice changes nothing."""
     entries = stored(entries)

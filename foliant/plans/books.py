@@ -179,3 +179,45 @@ SELECT book, pos, (row_number() OVER (PARTITION BY book ORDER BY CASE WHEN lv =
 def entries_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = F.when((F.col("l_orderkey") % 2 == 0) & (F.col("l_partkey") % 3 == 0), 1)
     return toc.by_page(P.numbered_lines(spark, sf_dir).select(F.col("l_orderkey").alias("book"), "pos", (F.col("l_suppkey") % 5).alias("page"), level.alias("level"))).select("book", "pos", "place")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN trim(o_orderpriority) WHEN o_orderkey % 3 = 1 THEN trim(o_orderpriority) || ' ' || o_orderstatus ELSE trim(o_orderpriority) END AS name, CASE WHEN o_orderkey % 3 = 2 THEN 1 ELSE 0 END::INT AS kind FROM orders""")
+def chat_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as chats: persons with one or two names, and groups with a title."""
+    person, last = F.col("o_orderkey") % 3 < 2, F.when(F.col("o_orderkey") % 3 == 1, F.col("o_orderstatus")).otherwise("")
+    name = render.chat_name(F.concat(F.lit(" "), "o_orderpriority", F.lit(" ")), last, F.trim("o_orderpriority"), person)
+    return P.table(spark, sf_dir, "orders").select("o_orderkey", name.alias("name"), render.chat_type(person, ~person).alias("kind"))
+
+
+@query("SELECT o_orderkey, (o_totalprice * 200)::BIGINT AS size FROM orders WHERE (o_totalprice * 200)::BIGINT <= 26214400 OR o_orderkey % 5 = 0")
+def accepted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = P.table(spark, sf_dir, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * 200).cast("long").alias("size"), (F.col("o_orderkey") % 5 == 0).alias("is_admin"))
+    return render.accepted_sizes(files).select("o_orderkey", "size")
+
+
+@query(f"""WITH {LINES} SELECT l_orderkey AS request, pos, ((pos - 1) // 3)::INT AS "row", ((pos - 1) % 3)::INT AS "column" FROM li""")
+def keyboards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.button_rows(P.numbered_lines(spark, sf_dir).select(F.col("l_orderkey").alias("request"), "pos"), 3)
+
+
+@query("""SELECT doc_id, sha256(regexp_replace(regexp_replace(text || ' ، x؟   y ؛z', '\\s+([،؛؟])', '\\1', 'g'), '([،؛؟])\\s{2,}', '\\1 ', 'g')) AS mended FROM documents""")
+def mended_punctuation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.arabic_punctuation(F.concat("text", F.lit(" ، x؟   y ؛z"))), 256).alias("mended"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'Conversion error: bad ' || event_id || chr(10) || 'b' WHEN event_id % 4 = 1 THEN 'b' ELSE 'a' || chr(10) || 'b' END AS said,
+ CASE WHEN event_id % 4 = 0 THEN 'Conversion error: bad ' || event_id ELSE '' END AS errors FROM events""")
+def error_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs of a converter, of which one in four tells a failure among lines that don't count; and messages joined."""
+    log = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("INFO - Conversion error: no\nx Conversion error: *bad* "), "event_id", F.lit("  \nend"))).otherwise("all is well")
+    errors = T.command_errors(log)
+    first = F.when(F.col("event_id") % 4 == 0, errors).when(F.col("event_id") % 4 == 1, F.lit("")).otherwise("a")
+    return P.table(spark, sf_dir, "events").select("event_id", T.merged_errors(first, F.lit(None).cast("string"), F.lit("b")).alias("said"), errors.alias("errors"))
+
+
+@query(f"""WITH {LINES}, m AS (SELECT l_orderkey AS book, pos, CASE WHEN l_partkey % 5 = 0 THEN '' ELSE 'i' || pos END AS id, CASE WHEN l_suppkey % 2 = 0 THEN 'Text/' ELSE 'img/' END || pos || '.x' AS href, l_returnflag = 'N' AS exists FROM li)
+SELECT book, pos, id, href FROM m WHERE NOT (NOT exists AND id <> '' AND href LIKE 'Text/%')""")
+def live_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    href = F.concat(F.when(F.col("l_suppkey") % 2 == 0, "Text/").otherwise("img/"), "pos", F.lit(".x"))
+    rows = P.numbered_lines(spark, sf_dir).select(F.col("l_orderkey").alias("book"), "pos", F.when(F.col("l_partkey") % 5 == 0, "").otherwise(F.concat(F.lit("i"), "pos")).alias("id"), href.alias("href"), F.lit("OEBPS").alias("directory"), (F.col("l_returnflag") == "N").alias("exists"))
+    return structure.live_items(rows).select("book", "pos", "id", "href")

@@ -253,6 +253,34 @@ def with_direction(entries: DataFrame, chosen: DataFrame) -> DataFrame:
     return _parsed(contents(entries, chosen.select("book", F.col("entry").alias("name"))), run, ["book", "name", "content"], "book string, name string, content binary")
 
 
+def with_packages(entries: DataFrame, new: DataFrame) -> DataFrame:
+    """book, name and content of package documents with another manifest and spine.
+
+    ``new`` (book, entry, items: array of (at, href) with the item's old place, spine: array of idrefs) says what they hold, in order.
+    """
+
+    def run(row: tuple) -> list[tuple]:
+        root = markup.tree(row.content)
+        if root is None:
+            return []
+        part = {local(e): e for e in reversed(list(root.iter()))}
+        old = [e for e in part["manifest"] if local(e) == "item"]
+        refs = {e.get("idref"): e for e in reversed([e for e in part["spine"] if local(e) == "itemref"])}
+        for item in row.items_:
+            old[item["at"]].set("href", item["href"])
+        part["manifest"][:] = [old[item["at"]] for item in row.items_]
+        name = old[0].tag[: -len("item")] + "itemref" if old else "itemref"
+        part["spine"][:] = [refs[i] if i in refs else ET.Element(name, {"idref": i}) for i in row.spine]
+        space = root.tag[1:].split("}")[0] if root.tag.startswith("{") else ""
+        if space:
+            ET.register_namespace("", space)
+        ET.register_namespace("dc", _DC)
+        return [(row.book, row.name, ET.tostring(root, encoding="utf-8", xml_declaration=text_of(row.content).lstrip().startswith("<?xml")))]
+
+    wanted = new.select("book", F.col("entry").alias("name"), F.col("items").alias("items_"), "spine")
+    return _parsed(contents(entries, wanted), run, ["book", "name", "content"], "book string, name string, content binary")
+
+
 def _flat_points(root: ET.Element) -> None:
     top = next((e for e in root.iter() if local(e) == "navmap"), None)
     if top is None:

@@ -173,3 +173,22 @@ def test_paths_in_containers(spark):
     inside = lambda d, h: ".." not in posixpath.normpath(h).split("/")
     assert [g[0] for g in got] == [posixpath.normpath(f"/{d}/{h}").lstrip("/") for d, h in cases]
     assert [g[1] for g, c in zip(got, cases, strict=True) if inside(*c)] == [relative(d, h) for d, h in cases if inside(d, h)]
+
+
+def test_repair_of_a_container(spark, tmp_path):
+    items = [("intro", "Text/intro.xhtml", X, ""), ("page_2", "Text/page_2.xhtml", X, ""), ("page_1", "Text/PAGE_1.xhtml", X, ""), ("page_1", "text/Page_1.xhtml", X, ""), ("page_3", "Text/page_3.xhtml", X, ""), ("page_4", "Text/page_4.xhtml", X, ""), ("c", "s.css", "text/css", "")]
+    opf = package(items, ["page_3", "page_2", "page_1", "page_1", "page_4"])
+    with zipfile.ZipFile(tmp_path / "a.epub", "w") as z:
+        for name, content in [("mimetype", "application/epub+zip"), ("OEBPS/content.opf", "old"), ("OEBPS/content.opf", opf), ("OEBPS/s.css", ""), ("OEBPS/Text/intro.xhtml", page("i")), *[(f"OEBPS/Text/page_{k}.xhtml", page(str(k))) for k in (1, 2, 3)]]:
+            z.writestr(name, content)
+    out = volumes.repaired(read(spark, tmp_path))
+    names = [r.name for r in out.collect()]
+    assert len(names) == len(set(names)) == 7
+    chosen = out.where("name LIKE '%.opf'").select("book", F.col("name").alias("entry"))
+    (r,) = container.packages(out, chosen).collect()
+    assert [(i.id, i.href) for i in r["items"]] == [("intro", "Text/intro.xhtml"), ("page_1", "Text/page_1.xhtml"), ("page_2", "Text/page_2.xhtml"), ("page_3", "Text/page_3.xhtml"), ("c", "s.css")]
+    assert [s.idref for s in r.spine] == ["intro", "page_1", "page_2", "page_3"] and r.title == "Title"
+    (done,) = container.packed(out).collect()
+    (tmp_path / "a.epub").write_bytes(done.content)
+    again = {x.name: bytes(x.content) for x in volumes.repaired(read(spark, tmp_path)).collect()}
+    assert again == {x.name: bytes(x.content) for x in out.collect()}
