@@ -76,6 +76,7 @@ def strip_tags(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(html, "<[^>]+>", " "), r"(?U)\s+", " "))
 
 
+# Fixed values in the patterns below: void tags, characters that file systems refuse, tags that tell markup, names of page files, marks of punctuation.
 def close_void_tags(html: Column) -> Column:
     return F.regexp_replace(html, rf"(?i)<({VOID_TAGS})(\s[^>]*)?/?>", "<$1$2 />")
 

@@ -24,10 +24,10 @@ def toc_table(catalog: DataFrame, content: DataFrame) -> DataFrame:
 
 
 def text_column(columns: list[str], samples: DataFrame) -> str | None:
-    """``nass``, else the first column with text in its first 50 rows."""
+    """``nass``, else the first column with text in the first 50 rows of ``samples`` (by pos)."""
     if "nass" in columns:
         return "nass"
-    head = samples.limit(50).agg(*[F.count(F.col(c)).alias(c) for c in columns if samples.schema[c].dataType.simpleString() == "string"]).first()
+    head = samples.orderBy("pos").limit(50).agg(*[F.count(F.col(c)).alias(c) for c in columns if c != "pos" and samples.schema[c].dataType.simpleString() == "string"]).first()
     return next((c for c in columns if head and c in head.asDict() and head[c]), None)
 
 

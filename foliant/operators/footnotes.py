@@ -30,24 +30,22 @@ def markers(text: Column) -> Column:
     A marker is in a verse if a verse bracket is open before it, or if its nearest visible neighbour is one.
     """
     found = F.regexp_extract_all(text, F.lit(MARKER), F.lit(1))
-    rows = F.arrays_zip(F.slice(F.split(text, MARKER, -1), F.lit(1), F.size(found)).alias("gap"), found.alias("marker"))
+    gaps = F.split(text, MARKER, -1)
+    rows = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), F.slice(gaps, F.lit(2), F.size(found)).alias("after"), found.alias("marker"))
     kind = "struct<start:int,end:int,marker:string,number:string,caret:boolean,bracket:string,verse:boolean>"
+    count = lambda x, mark: F.length(x) - F.length(F.replace(x, F.lit(mark), F.lit("")))
 
-    def one(at: Column, x: Column) -> Column:
-        start = at + F.length(x["gap"])
+    def step(s: Column, x: Column) -> Column:
+        # Only what lies between two markers is looked at, so a text is read once.
+        start = s["at"] + F.length(x["gap"])
         end = start + F.length(x["marker"])
-        before, after = F.substring(text, F.lit(1), start), F.substring(text, end + 1, F.length(text))
-        count = lambda mark: F.length(before) - F.length(F.replace(before, F.lit(mark), F.lit("")))
-        beside = (F.regexp_extract(before, r"(\S)\s*$", 1) == VERSE_OPEN) | (F.regexp_extract(after, r"^\s*(\S)", 1) == VERSE_CLOSE)
+        opened = s["opened"] + count(x["gap"], VERSE_OPEN) - count(x["gap"], VERSE_CLOSE)
+        beside = (F.regexp_extract(x["gap"], r"(\S)\s*$", 1) == VERSE_OPEN) | (F.regexp_extract(x["after"], r"^\s*(\S)", 1) == VERSE_CLOSE)
         number, caret, bracket = marker_parts(x["marker"])
-        return F.struct(start.alias("start"), end.alias("end"), x["marker"].alias("marker"), number.alias("number"), caret.alias("caret"), bracket.alias("bracket"), ((count(VERSE_OPEN) > count(VERSE_CLOSE)) | beside).alias("verse")).cast(kind)
+        one = F.struct(start.alias("start"), end.alias("end"), x["marker"].alias("marker"), number.alias("number"), caret.alias("caret"), bracket.alias("bracket"), ((opened > 0) | beside).alias("verse")).cast(kind)
+        return F.struct(end.alias("at"), opened.alias("opened"), F.concat(s["out"], F.array(one)).alias("out"))
 
-    return F.aggregate(
-        rows,
-        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out")),
-        lambda s, x: F.struct((s["at"] + F.length(x["gap"]) + F.length(x["marker"])).alias("at"), F.concat(s["out"], F.array(one(s["at"], x))).alias("out")),
-        lambda s: s["out"],
-    )
+    return F.aggregate(rows, F.struct(F.lit(0).alias("at"), F.lit(0).alias("opened"), F.array().cast(f"array<{kind}>").alias("out")), step, lambda s: s["out"])
 
 
 def links(notes: Column, candidates: Column) -> Column:

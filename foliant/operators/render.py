@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
+from foliant.plans import domains as D
 
 # Labels of generated pages.
 LABELS = {"ar": {"title": "كتاب", "page": "صفحة", "info": "بطاقة الكتاب", "toc": "فهرس الموضوعات"}, "en": {"title": "Book", "page": "Page", "info": "Book Info", "toc": "Table of Contents"}}
@@ -170,6 +171,7 @@ def _flags(*options: tuple[Column, list[Column | str]]) -> Column:
     return F.flatten(F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.array(*[F.lit(w) if isinstance(w, str) else w.cast("string") for w in words])) for c, words in options]), lambda x: x.isNotNull()))
 
 
+# Fixed values below: words of the converters' command lines, and names of filters and preparations.
 def calibre_arguments() -> Column:
     """Calibre's arguments for a route with its option columns; fonts depend on files and are left to the caller."""
     c = F.col
@@ -184,8 +186,8 @@ def calibre_arguments() -> Column:
 
 def pandoc_arguments() -> Column:
     c = F.col
-    toc = c("pandoc_toc") & c("output").isin("docx", "epub", "html", "md", "rst", "tex", "typ", "typst")
-    numbers = c("pandoc_number_sections") & c("output").isin("docx", "epub", "html", "tex")
+    toc = c("pandoc_toc") & c("output").isin(*D.TOC_OUTPUTS)
+    numbers = c("pandoc_number_sections") & c("output").isin(*D.NUMBERED_OUTPUTS)
     return _flags((toc | numbers, ["--standalone"]), (toc, ["--toc"]), (numbers, ["--number-sections"]), (c("pandoc_heading_shift") != 0, ["--shift-heading-level-by", c("pandoc_heading_shift")]))
 
 
@@ -194,7 +196,7 @@ def pandoc_filters() -> Column:
     c, out = F.col, F.col("output")
     return _flags(
         (c("input") == "docx", ["docx-cleanup"]), (F.lit(True), ["empty-blocks"]), (F.lit(True), ["arabic-punctuation"]), (out == "md", ["bidi-cleanup"]),
-        (c("docx_header_pagebreaks") & (out == "docx"), ["docx-header-pagebreaks"]), (c("force_rtl") & out.isin("docx", "epub", "html", "md"), ["rtl-wrap"]),
+        (c("docx_header_pagebreaks") & (out == "docx"), ["docx-header-pagebreaks"]), (c("force_rtl") & out.isin(*D.RTL_OUTPUTS), ["rtl-wrap"]),
     )
 
 

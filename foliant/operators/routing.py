@@ -63,6 +63,7 @@ def calibre_converts() -> Column:
     return ~_in("input", D.PANDOC_ONLY_INPUTS) & _in("output", D.CALIBRE_OUTPUTS)
 
 
+# Fixed values below: options that pandoc does not have.
 def beyond_pandoc() -> Column:
     """Some option is set that pandoc can't honour on this route."""
     c, epub = F.col, F.col("input") == "epub"

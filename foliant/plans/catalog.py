@@ -607,7 +607,7 @@ def _strip(x: str) -> str:
 
 
 def sql_lines(x: str) -> str:
-    cut = f"list_filter(list_transform(string_split(regexp_replace(y, '(^|\\s)([0-9]{{1,4}}\\s*[-–—]\\s+)', chr(1) || '\\1\\2', 'g'), chr(1)), lambda z: {_strip('z')}), lambda z: z <> '')"
+    cut = f"list_filter(list_transform(string_split(regexp_replace(y, '(^|\\s)(([0-9]{{1,4}}|[٠-٩]{{1,4}}|[۰-۹]{{1,4}})\\s*[-–—]\\s+)', chr(1) || '\\1\\2', 'g'), chr(1)), lambda z: {_strip('z')}), lambda z: z <> '')"
     lines = f"list_filter(list_transform(string_split_regex(replace(replace({x}, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\\n+'), lambda w: {_strip('w')}), lambda w: w <> '')"
     return f"flatten(list_transform({lines}, lambda y: CASE WHEN length(y) >= 220 AND len({cut}) >= 2 THEN {cut} ELSE [y] END))"
 
@@ -838,9 +838,15 @@ def package_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.package_entry(roots, lines.select(F.col("l_orderkey").alias("book"), "pos", name.alias("name")))
 
 
-@query()
+@query(f"""WITH {LINES}, n AS (SELECT l_orderkey AS page, pos, CASE l_partkey % 6 WHEN 0 THEN 'hr' WHEN 1 THEN 'aside' ELSE 'p' END AS kind, CASE l_partkey % 6 WHEN 1 THEN 'open =' WHEN 2 THEN '= goes on' WHEN 5 THEN 'text' ELSE '(' || pos || ') note' END AS text FROM li),
+a AS (SELECT *, kind = 'p' AND text LIKE '(%' AS marked, (SELECT count(*) FROM n r WHERE r.page = n.page AND r.pos <= n.pos AND r.kind = 'hr') AS rules FROM n),
+g AS (SELECT *, pos - min(pos) OVER (PARTITION BY page, rules) AS k, min(pos) OVER (PARTITION BY page, rules) AS begins FROM a),
+c AS (SELECT *, rules > 0 AND k = 1 AND kind = 'p' AND text LIKE '=%' AS goes_on FROM g),
+s AS (SELECT *, (SELECT min(x.pos) FROM c x WHERE x.page = c.page AND x.rules = c.rules AND x.k > 0 AND NOT x.marked AND NOT x.goes_on) AS stop_, (SELECT max(x.pos) FROM c x WHERE x.page = c.page AND x.pos <= c.begins AND x.marked) AS last_mark, (SELECT max(x.pos) FROM c x WHERE x.page = c.page AND x.pos <= c.begins AND x.kind = 'aside') AS last_open FROM c),
+w AS (SELECT *, CASE WHEN kind = 'hr' THEN 'rule' WHEN goes_on THEN 'continuation' WHEN marked AND rules > 0 AND pos < coalesce(stop_, 1000000) THEN 'note' ELSE 'body' END AS role FROM s)
+SELECT page, pos, role, (rules + (role = 'body')::INT)::INT AS section, CASE WHEN role = 'note' THEN count(*) FILTER (role = 'note') OVER (PARTITION BY page ORDER BY pos) END::INT AS note_id, CASE WHEN goes_on AND last_open > coalesce(last_mark, -1) THEN last_open END AS target FROM w""")
 def ruled_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as the nodes of a page; the way back to an open footnote has no short SQL form, tests walk it."""
+    """Order lines as the nodes of a page."""
     k = F.col("l_partkey") % 6
     kind = F.when(k == 0, "hr").when(k == 1, "aside").otherwise("p")
     text = F.when(k == 1, "open =").when(k == 2, "= goes on").when(k < 5, F.concat(F.lit("("), F.col("pos"), F.lit(") note"))).otherwise("text")

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import datetime
+import hashlib
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,9 +68,13 @@ def test_plain_lines_of_all_documents(spark, tmp_path):
             out += parts if len(line) >= 220 and len(parts) >= 2 else [line]
         return out
 
-    want = [(k, len(twin(t)), None if t is None else len(re.sub(r"\s", "", t))) for k, t in rows]
+    digest = lambda t: hashlib.sha256("\n".join(twin(t)).encode()).hexdigest()
+    want = [(k, len(twin(t)), None if t is None else len(re.sub(r"\s", "", t)), digest(t)) for k, t in rows]
     assert any(len(line) >= 220 and re.search(r"\s12 - ", line) for t in texts for line in (t or "").split("\n"))
     assert sorted(map(tuple, catalog.plain_lines(spark, str(tmp_path)).collect())) == want
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet' WHERE text IS NOT NULL")
+    assert sorted(con.execute(catalog.ORACLE_SQL["plain_lines"]).fetchall()) == [w for w in want if w[2] is not None]
 
 
 def test_headings_once(spark):
@@ -145,7 +151,7 @@ def test_catalog_of_tables(spark, rows):
     content = assembly.content_table(catalog, "b")
     assert rows(content) == [("k", "B1"), ("l", "b7")]
     assert rows(assembly.toc_table(catalog, content)) == [("k", "t1"), ("l", "t3")]
-    assert assembly.text_column(["id", "a", "b"], spark.createDataFrame([(1, None, "x")], "id INT, a STRING, b STRING")) == "b"
+    assert assembly.text_column(["id", "a", "b"], spark.createDataFrame([(0, 1, None, "x")], "pos INT, id INT, a STRING, b STRING")) == "b"
 
 
 def at(seconds):
