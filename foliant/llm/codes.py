@@ -7,6 +7,9 @@ in one level into the position in the next with one lookup and one popcount.
 
 Layout, little-endian: ``DAC1``, u32 levels, u64 ids; then for each level u64
 entries, the chunk bytes, the bitmap (lowest bit first), the u32 rank directory.
+
+Edge cases: no ids are one level without entries; there are no nulls among ids; an id outside
+the sequence is an IndexError, a slice is cut to it; other bytes are refused.
 """
 
 from __future__ import annotations

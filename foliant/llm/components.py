@@ -1,4 +1,8 @@
-"""Connected components by alternating large and small stars, on DataFrames only."""
+"""Connected components by alternating large and small stars, on DataFrames only.
+
+Edge cases: no edges give no rows; an edge of a node with itself says nothing; repeated
+edges, in either direction, are one; an edge with a null end is left out.
+"""
 
 from __future__ import annotations
 
@@ -29,7 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
     Stops once all edges lead from a node straight to a smallest one.  Each
     round is a written table, so no lineage grows and a lost executor repeats one round at most.
     """
-    current = written(edges.select("u", "v").where("u <> v"), "edges")
+    current = written(edges.select("u", "v").where("u <> v"), "edges")  # a null end is neither equal nor different
     while True:
         following = written(_small(_large(current)), "edges")
         for path in paths_of(current):

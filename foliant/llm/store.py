@@ -35,7 +35,11 @@ BATCH_BYTES = 16 << 20
 
 
 def with_small_batches(spark: SparkSession) -> SparkSession:
-    """The session with Arrow batches of at most BATCH_BYTES; a smaller setting stays."""
+    """The session with Arrow batches of at most BATCH_BYTES; a smaller setting stays.
+
+    A precondition of the queries, set for the session and left so: results are computed when they are
+    asked for, so there is no later moment at which it could be put back.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(key, None) or ""
     if not now.rstrip("bB").isdigit() or not 0 < int(now.rstrip("bB")) <= BATCH_BYTES:

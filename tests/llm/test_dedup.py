@@ -256,6 +256,6 @@ def test_components(spark):
     for a, b in edges:
         a, b = sorted((root(a), root(b)))
         parent[b] = a
-    got = {r.id: r.component for r in components.components(spark.createDataFrame(edges, "u LONG, v LONG")).collect()}
+    got = {r.id: r.component for r in components.components(spark.createDataFrame([*edges, *[(b, a) for a, b in edges[:9]], (None, 1), (2, None)], "u LONG, v LONG")).collect()}
     assert got == {x: root(x) for x in parent if root(x) != x}
     assert components.components(spark.createDataFrame([], "u LONG, v LONG")).count() == 0
