@@ -179,7 +179,7 @@ class Identifier:
 class Scorer:
     """Scores texts; a table of at most about ``limit`` distinct words stays in memory."""
 
-    def __init__(self, identifier: Identifier, limit: int = 300_000) -> None:
+    def __init__(self, identifier: Identifier, limit: int = 200_000) -> None:
         self._of, self._limit = identifier, limit
         self._clear()
 

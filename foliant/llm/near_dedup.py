@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm.components import components
 from foliant.llm.store import written
-from foliant.llm.tokens import trim
+from foliant.llm.tokens import forget, trim
 
 WORDS, ROWS, BLOCK = 5, 3, 1024
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -137,6 +137,7 @@ def signatures(docs: DataFrame, percent: int) -> DataFrame:
     passed = ["doc_id", "t0", "t1"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         a, b = permutations(count)
         number = TaskContext.get().partitionId() << 36
         for batch in batches:
@@ -303,6 +304,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """id and elements (sorted 64-bit names) of the sets in ``wanted`` (id, k0, k1, doc: a document that has it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 sets = [shingles(t.as_py()) for t in batch.column("text").slice(start, 256)]

@@ -281,6 +281,13 @@ def loaded(kind: Callable, source: str):
     return _LOADED[key]
 
 
+def forget() -> None:
+    """Drop the tables that earlier operators left in this worker process; for operators that load none."""
+    if _LOADED:
+        _LOADED.clear()
+        trim()
+
+
 def piece_model(path: str):
     from sentencepiece import SentencePieceProcessor
 
