@@ -264,30 +264,28 @@ def _from_rules(root: Element) -> bool:
     return changed
 
 
+def _standardise(root: Element) -> bool:
+    blocks = [e for e in root.iter() if _is_block(e)]
+    return _from_blocks(root, blocks) if blocks else _from_rules(root)
+
+
 def standardised(html: str) -> str:
     """The markup of a page with its notes as asides that the text links to; as it was where there is nothing to link."""
     root = fragment(html)
-    if root is None:
-        return html
-    blocks = [e for e in root.iter() if _is_block(e)]
-    changed = _from_blocks(root, blocks) if blocks else _from_rules(root)
-    return inner(root) if changed else html
+    return inner(root) if root is not None and _standardise(root) else html
 
 
 def _footnotes(root: Element) -> list[Element]:
     return [e for e in root.iter() if local(e) == "aside" and re.fullmatch(r"fn\d+", e.get("id") or "") and attribute(e, "type") == "footnote"]
 
 
-def without_continuation(html: str) -> tuple[str, str | None, bool]:
-    """The markup without the aside that continues an earlier note, what that says, and whether a note is left.  Elements that it leaves empty go too."""
-    root = fragment(html)
-    if root is None:
-        return html, None, False
+def _without_continuation(root: Element) -> tuple[str | None, bool]:
+    """Takes the aside that continues an earlier note out, with elements that it leaves empty: what it says, and whether a note is left."""
     asides = [e for e in _footnotes(root) if _span(e) is not None]
     first = next((e for e in asides if e.get("id") == "fn0"), None)
     text = inner(_span(first)).strip() if first is not None else ""
     if not text.startswith("=") or not text[1:].strip():
-        return html, None, bool(asides)
+        return None, bool(asides)
     parents = _parents(root)
     node = first
     while node in parents:
@@ -296,7 +294,18 @@ def without_continuation(html: str) -> tuple[str, str | None, bool]:
         if parent is root or len(parent) or (parent.text or "").strip():
             break
         node = parent
-    return inner(root), text[1:].strip(), len(asides) > 1
+    return text[1:].strip(), len(asides) > 1
+
+
+def rewritten(html: str | None) -> tuple[str | None, str | None, str | None, bool]:
+    """The standardised markup, that without the aside that continues an earlier note, what this says, and whether a note is left; the page is parsed once."""
+    # A page without a block of notes, a rule or a footnote has nothing to rewrite.
+    root = fragment(html) if html is not None and re.search("hamesh|<hr|footnote", html) else None
+    if root is None:
+        return html, None, None, False
+    new = inner(root) if _standardise(root) else html
+    text, left = _without_continuation(root)
+    return new, None if text is None else inner(root), text, left
 
 
 def with_continuation(html: str, more: str) -> str:
@@ -313,10 +322,9 @@ def standardised_pages(pages: DataFrame) -> DataFrame:
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             old = batch.column("html").to_pylist()
-            new = [None if x is None else standardised(x) for x in old]
-            cut = [(None, None, False) if x is None else without_continuation(x) for x in new]
-            columns = [pa.array([c[k] for c in cut], t) for k, t in ((0, pa.string()), (1, pa.string()), (2, pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([batch.column("book"), batch.column("page_no"), batch.column("html"), pa.array(new, pa.string()), *columns], names=["book", "page_no", "html", "new", "rest", "continuation", "has_note"])
+            done = [rewritten(x) for x in old]
+            columns = [pa.array([d[k] for d in done], t) for k, t in enumerate((pa.string(), pa.string(), pa.string(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([batch.column("book"), batch.column("page_no"), batch.column("html"), *columns], names=["book", "page_no", "html", "new", "rest", "continuation", "has_note"])
 
     rows = pages.select("book", "page_no", "html").mapInArrow(rewrite, f"{key}, html string, new string, rest string, continuation string, has_note boolean")
     moved = footnotes.carried(rows.select("book", "page_no", "html", "new", "rest", "continuation", "has_note"))
