@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
+from foliant.operators import render, toc
+from foliant.sources.stored import stored
 
 # Rows of a preview, and the margin from which printed page numbers are preferred.
 PREVIEW_ROWS, PAGE_MARGIN = 80, 50
@@ -122,3 +124,38 @@ def automatic_toc(paged: DataFrame) -> DataFrame:
     first = T.strip_tags(F.regexp_extract("text_html", r"(?is)<p[^>]*>([\s\S]*?)</p>", 1))
     heads = paged.select("book", "page_number", first.alias("text")).where((F.col("text") != "") & (F.length("text") <= T.LONGEST_TITLE) & T.is_heading(F.col("text")))
     return heads.groupBy("book", "text").agg(F.min("page_number").alias("page_number"))
+
+
+def book_contents(paged: DataFrame, mapped: DataFrame) -> DataFrame:
+    """Nodes (book, path, text, page, href, anchor) of books: their mapped entries, nested where some have levels, else by page; where there are none the headings of their pages; else all pages.
+
+    ``paged`` comes from ``pages``, ``mapped`` from ``mapped_toc``.
+    """
+    shape = ("book", "node", "path", "text", "page", "anchor")
+    known = toc.by_page(mapped).withColumn("pos", F.col("place"))
+    leveled = known.groupBy("book").agg(F.max("level").alias("deepest"))
+    flat = known.join(leveled.where("deepest IS NULL"), "book", "left_semi").select("book", F.col("pos").alias("node"), F.array("pos").alias("path"), "text", "page", "anchor")
+    nested = toc.nested(known.join(leveled.where("deepest IS NOT NULL"), "book", "left_semi").select("book", "pos", "level", "text", "page", "anchor"))
+    trees = toc.with_ancestors(nested.withColumnRenamed("pos", "node")).select(*shape)
+    heads = automatic_toc(paged).join(leveled, "book", "left_anti")
+    by_head = heads.select("book", F.col("page_number").alias("node"), F.array("page_number").alias("path"), "text", F.col("page_number").alias("page"), F.lit("").alias("anchor"))
+    bare = paged.join(leveled, "book", "left_anti").join(heads.select("book").distinct(), "book", "left_anti")
+    # Fixed value: the label of a page.
+    by_page = bare.select("book", F.col("page_number").alias("node"), F.array("page_number").alias("path"), F.concat(F.lit("صفحة "), F.col("page").cast("string")).alias("text"), F.col("page_number").alias("page"), F.lit("").alias("anchor"))
+    out = flat.unionByName(trees)
+    return out.unionByName(by_head).unionByName(by_page).select("book", "path", "text", "page", F.lit(None).cast("string").alias("href"), "anchor")
+
+
+def assembled(books: DataFrame, rows: DataFrame, toc_rows: DataFrame, split_numbered: bool = False, toc_page: bool = False) -> DataFrame:
+    """Container entries of books from their tables: metadata (book, title, author, about: ``catalogs.book_metadata``), rows of text (book, pos, text, id, page, part) and of contents (book, pos, start, text, level).
+
+    Hand the result to ``sources.container.packed``.  A book without text has no entries.
+    """
+    entries = stored(raw_toc(toc_rows))
+    starts = entries.where("start <> 0").select("book", F.col("start").alias("id")).distinct()
+    paged = stored(pages(rows, starts, split_numbered))
+    mapped = stored(mapped_toc(entries, page_of_ids(paged)))
+    nodes = stored(book_contents(paged, mapped))
+    told = books.select("book", "title", "author", "about", F.lit("ar").alias("language"), F.lit("rtl").alias("direction"), F.lit(toc_page).alias("toc_page"))
+    shown = paged.select("book", "page_number", F.lit(None).cast("string").alias("title"), "text_html", "part")
+    return render.book_entries(told.join(paged.select("book").distinct(), "book", "left_semi"), shown, nodes)

@@ -30,9 +30,10 @@ def label(language: Column, name: str) -> Column:
     return F.when(language == "ar", LABELS["ar"][name]).otherwise(LABELS["en"][name])
 
 
-def page_file(number: Column, last: Column) -> Column:
-    """File name of a page: its number with zeros, one digit wider than the last page's."""
-    return _concat("page_1_", F.lpad(number.cast("string"), F.length(last.cast("string")) + 1, F.lit("0")), ".xhtml")
+def page_file(number: Column, last: Column, part: Column | None = None) -> Column:
+    """File name of a page: its part (1 where parts aren't told, none where a page has none) and its number with zeros, one digit wider than the last page's."""
+    prefix = F.lit("page_1_") if part is None else F.coalesce(_concat("page_", part.cast("string"), "_"), F.lit("page_"))
+    return _concat(prefix, F.lpad(number.cast("string"), F.length(last.cast("string")) + 1, F.lit("0")), ".xhtml")
 
 
 def link_target(page: Column, file: Column, href: Column, anchor: Column) -> Column:
@@ -115,7 +116,7 @@ def book_entries(books: DataFrame, pages: DataFrame, toc: DataFrame, extra: Data
     """Container entries (book, pos, name, content) of books (book, title, author, about, language, direction), pages (book, page_number, title, text_html) and nodes of contents.
 
     A book may bring its identifier, its style sheet (style_path, style), whether the navigation
-    is read as a page (toc_page), and files of its own: ``assets`` for its manifest, ``extra``
+    is read as a page (toc_page), its pages their ``part``, and files of its own: ``assets`` for its manifest, ``extra``
     (book, name, content) for its container, but for names that are made here.  A book
     without contents gets one entry for each page.  Hand the result to ``sources.container.packed``;
     volumes are books of their own.
@@ -129,7 +130,7 @@ def book_entries(books: DataFrame, pages: DataFrame, toc: DataFrame, extra: Data
         F.when(F.col("style").isNotNull(), F.coalesce("style_path", F.lit("OEBPS/styles.css"))).otherwise("OEBPS/styles.css").alias("style_path"), F.coalesce("style", F.encode(F.lit(STYLES), "UTF-8")).alias("style"), F.coalesce("toc_page", F.lit(False)).alias("toc_page"),
         F.filter(F.coalesce("assets", F.array().cast(BOOK_DEFAULTS["assets"])), lambda a: (a["href"] != "") & (a["media_type"] != "")).alias("assets"),
     )
-    numbered = pages.withColumn("file", page_file(F.col("page_number"), F.max("page_number").over(Window.partitionBy("book"))))
+    numbered = pages.withColumn("file", page_file(F.col("page_number"), F.max("page_number").over(Window.partitionBy("book")), F.col("part") if "part" in pages.columns else None))
     files = numbered.groupBy("book").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "file"))), lambda x: x["file"]).alias("files"))
     nodes = toc.select("book", "path", "text", "page", "href", "anchor")
     bare = numbered.join(nodes.select("book").distinct(), "book", "left_anti").join(about.select("book", "language"), "book")

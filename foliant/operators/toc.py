@@ -63,6 +63,28 @@ def nested_by_levels(items: DataFrame, levels: int) -> DataFrame:
     return rows.withColumn("path", path).select(*items.columns, F.try_element_at("path", F.lit(-2)).alias("parent"), "path")
 
 
+def with_ancestors(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (book, node, parent), in which a parent comes before its children, with ``path``: a book's nodes pass once, however deep they are."""
+    kind = nodes.schema["node"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book, above = None, []
+        for batch in batches:
+            paths = []
+            for of, node, parent in zip(*(batch.column(c).to_pylist() for c in ("book", "node", "parent")), strict=True):
+                if of != book:
+                    book, above = of, []
+                while above and above[-1] != parent:
+                    above.pop()
+                above.append(node)
+                paths.append(list(above))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(paths, pa.list_(batch.schema.field("node").type))], names=[*batch.schema.names, "path"])
+
+    ordered = nodes.repartition("book").sortWithinPartitions("book", "node")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema)
+    return ordered.mapInArrow(run, f"{fields}, path array<{kind}>")
+
+
 def by_page(items: DataFrame) -> DataFrame:
     """``items`` (book, pos, page, level) with ``place`` from 1: as they stand, but by page (equal pages as they stand) in books where no item has a level."""
     levels = F.count("level").over(Window.partitionBy("book"))

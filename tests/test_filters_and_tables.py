@@ -8,7 +8,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.operators import catalogs, filters, fonts, recipients, toc, usage, volumes
+from foliant.operators import assembly, catalogs, filters, fonts, recipients, toc, usage, volumes
 from foliant.sources import container
 from tests.test_volumes import book, page, read, write
 
@@ -108,3 +108,22 @@ def test_orders(spark, tmp_path):
         usage.appended(events, path)
     log = spark.read.parquet(path)
     assert log.count() == 4 and log.where("day = '2024-01-02'").agg(F.max(F.length("error_message")), F.max("output_size_bytes")).first() == (2000, None)
+
+
+def test_assembled_books(spark, tmp_path, rows):
+    """Books from tables of text and contents: with levels, without, without contents, without text."""
+    about = [("a", "Title", "X", "<p>about</p>"), ("b", "B", "", ""), ("c", "C", "", ""), ("d", "D", "", ""), ("e", "E", "", "")]
+    books = spark.createDataFrame(about, "book STRING, title STRING, author STRING, about STRING")
+    text = [("a", 1, "one", 10, 5, "2"), ("a", 2, "two & more", 20, 6, "2"), ("a", 3, "three", 30, 7, "2"), ("b", 1, "x", 1, 1, None), ("b", 2, "y", 2, 2, None), ("c", 1, "سورة الفاتحة\nnow", 1, 1, "1"), ("c", 2, "z", 2, 2, "1"), ("d", 1, "p", 1, 3, None), ("e", 1, " ", 1, 1, None)]
+    contents = [("a", 1, 10, "Part", 1), ("a", 2, 20, "Chapter", 2), ("a", 3, 30, "Next", 1), ("b", 1, 2, "Later", None), ("b", 2, 1, "First", None)]
+    out = assembly.assembled(books, spark.createDataFrame(text, "book STRING, pos INT, text STRING, id LONG, page LONG, part STRING"), spark.createDataFrame(contents, "book STRING, pos INT, start LONG, text STRING, level LONG"))
+    for r in container.packed(out).collect():
+        (tmp_path / f"{r.book}.epub").write_bytes(r.content)
+    entries = read(spark, tmp_path)
+    nodes = container.toc_rows(entries).where("source = 'nav' AND (page > 0 OR href LIKE '%/text/%')")
+    listed = [(r.book, len(r.path), r.text, r.page or r.href[-8:-6], r.anchor) for r in nodes.orderBy("book", "node").collect()]
+    assert listed == [("a", 1, "Part", 1, "toc_10"), ("a", 2, "Chapter", 2, "toc_20"), ("a", 1, "Next", 3, "toc_30"), ("b", 1, "First", "01", "toc_1"), ("b", 1, "Later", "02", "toc_2"), ("c", 1, "سورة الفاتحة", 1, None), ("d", 1, "صفحة 3", "01", None)]
+    names = {(r.book, r.name.rsplit("/", 1)[1]) for r in entries.where("name LIKE '%/text/%'").collect()}
+    assert names == {("a", "page_2_01.xhtml"), ("a", "page_2_02.xhtml"), ("a", "page_2_03.xhtml"), ("b", "page_01.xhtml"), ("b", "page_02.xhtml"), ("c", "page_1_01.xhtml"), ("c", "page_1_02.xhtml"), ("d", "page_01.xhtml")}
+    pages = {r.name: bytes(r.content).decode() for r in entries.where("book = 'a'").collect()}
+    assert '<a id="toc_20"></a><p>two &amp; more</p></div><div class="text-center">الجزء: 2 - الصفحة: 6</div>' in pages["OEBPS/text/page_2_02.xhtml"] and "<p>about</p>" in pages["OEBPS/info.xhtml"]
