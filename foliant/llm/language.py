@@ -43,6 +43,8 @@ _BASE = 0x9E3779B97F4A7C15
 _POWERS = np.array([pow(_BASE, k, 1 << 64) for k in range(ORDER + 1)], np.uint64)
 #: Characters that no model has seen share one unit of probability.
 UNSEEN = 1000.0
+#: Bytes of text scored at a time: every run of letters in it has a row of numbers.
+SLICE_BYTES = 1_000_000
 #: Rows of two values that may be sent to all tasks.
 FEW = 100_000
 #: A text is rejected at this share of the distance between known languages.
@@ -227,7 +229,7 @@ class Scorer:
         """(language, score from 0 to 1, rejected) of each text; null counts as empty."""
         texts = texts.cast(pa.large_string()).fill_null("")
         names, scores, rejected = [], [], []
-        for piece in sliced(texts):
+        for piece in sliced(texts, SLICE_BYTES):
             if not self._of.languages:
                 names += ["und"] * len(piece)
                 scores.append(np.zeros(len(piece)))

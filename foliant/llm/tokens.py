@@ -136,15 +136,15 @@ class ChunkTable:
         return ids, np.diff(total)
 
 
-def sliced(texts: pa.Array) -> Iterator[pa.Array]:
-    """Slices of about SLICE_BYTES, one text at least."""
+def sliced(texts: pa.Array, size: int | None = None) -> Iterator[pa.Array]:
+    """Slices of about ``size`` bytes (SLICE_BYTES if it isn't given), one text at least."""
     if not len(texts):
         return
     sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
     start = 0
     while start < len(texts):
         before = sizes[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(sizes, before + SLICE_BYTES, "right")))
+        stop = max(start + 1, int(np.searchsorted(sizes, before + (size or SLICE_BYTES), "right")))
         yield texts.slice(start, stop - start)
         start = stop
 
